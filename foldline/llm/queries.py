@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldline.llm._shared import written
 from foldline.llm.bpe import bpe_decode, bpe_encode
+from foldline.llm.exact_dedup import exact_dedup
+from foldline.llm.line_dedup import line_dedup
+from foldline.llm.mixing import mix
+from foldline.llm.quality_rules import fitted, pattern, base_failed, posterior, text_stats
 from foldline.llm.substring_dedup import substring_dedup
 
 
@@ -19,11 +24,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"), run_lines=2)
+    return out.select(
+        "doc_id", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(documents(spark, sf_dir), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(documents(spark, sf_dir).select("doc_id", text_stats(F.col("text")).alias("stats")), "stats")
+    s, post = F.col("stats"), fitted(stats)
+    good = posterior(pattern(s), post)
+    return stats.select(
+        "doc_id", *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        base_failed(s).alias("base_failed"), (~base_failed(s) & (good >= 0.5)).alias("kept"), F.round(good, 6).alias("posterior"),
+    )
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     out = bpe_decode(bpe_encode(documents(spark, sf_dir), path), path)
@@ -31,5 +63,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op9_bpe)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_substring_dedup, op4_quality_rules, op6_exact_dedup, op7_mixing, op9_bpe)}
+#: Words of a text; its lines with a word, without outer white space, in order.
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
+        k AS (SELECT doc_id, no, trim(line, E' \t\n\x0b\x0c\r') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        w AS (SELECT a.doc_id, a.p, a.no AS no1, b.no AS no2, a.line || chr(10) || b.line AS run FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.p = a.p + 1),
+        f AS (SELECT run, min(doc_id) AS doc_id FROM w GROUP BY 1), g AS (SELECT w.run, w.doc_id, min(p) AS p FROM w JOIN f USING (run, doc_id) GROUP BY 1, 2),
+        d AS (SELECT w.doc_id, unnest([no1, no2]) AS no FROM w JOIN g USING (run) WHERE w.doc_id > g.doc_id OR (w.doc_id = g.doc_id AND w.p >= g.p + 2)),
+        x AS (SELECT DISTINCT doc_id, no FROM d),
+        t AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) FILTER (x.no IS NULL) AS kept,
+                coalesce(string_agg(x.no::VARCHAR, ',' ORDER BY x.no), '') AS removed, count(x.no) AS n FROM l LEFT JOIN x USING (doc_id, no) GROUP BY 1)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN t USING (doc_id)""",
+    "op6_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(text) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY text)""",
+}
