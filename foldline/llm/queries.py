@@ -9,7 +9,9 @@ from foldline.llm._shared import written
 from foldline.llm.bpe import bpe_decode, bpe_encode
 from foldline.llm.exact_dedup import exact_dedup
 from foldline.llm.line_dedup import line_dedup
+from foldline.llm.minhash import near_duplicates
 from foldline.llm.mixing import mix
+from foldline.llm.pii import KINDS, find_private
 from foldline.llm.quality_rules import fitted, pattern, base_failed, posterior, text_stats
 from foldline.llm.substring_dedup import substring_dedup
 
@@ -47,6 +49,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(documents(spark, sf_dir), shingle=5, percent=85)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -63,7 +70,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_substring_dedup, op4_quality_rules, op6_exact_dedup, op7_mixing, op9_bpe)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_private(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
+    return out.select(
+        "doc_id", *map(count, KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("terms").cast("long").alias("n_terms"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_substring_dedup, op4_quality_rules, op5_minhash, op6_exact_dedup, op7_mixing, op9_bpe, op10_pii)}
 #: Words of a text; its lines with a word, without outer white space, in order.
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 SQL: dict[str, str] = {
