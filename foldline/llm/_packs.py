@@ -128,8 +128,8 @@ def thaw(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def packed(docs: DataFrame, columns: list[str], by: str = "text", size: int = PACK_BYTES) -> DataFrame:
-    """``docs`` as rows (pack, blob), dealt out by pack; ``by`` is the column whose bytes fill a pack."""
+def packed(docs: DataFrame, columns: list[str], by: str = "text", size: int = PACK_BYTES, shuffled: bool = True) -> DataFrame:
+    """``docs`` as rows (pack, blob), dealt out by pack if ``shuffled``; ``by`` is the column whose bytes fill a pack."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -151,7 +151,8 @@ def packed(docs: DataFrame, columns: list[str], by: str = "text", size: int = PA
     def _row(part: int, k: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"pack": pa.array([part << 24 | k], pa.int64()), "blob": pa.array([_freeze(rows)], pa.binary())})
 
-    return docs.select(*columns).mapInArrow(fill, "pack long, blob binary").repartition(shuffle_partitions(spark), "pack")
+    packs = docs.select(*columns).mapInArrow(fill, "pack long, blob binary")
+    return packs.repartition(shuffle_partitions(spark), "pack") if shuffled else packs
 
 
 @lru_cache(maxsize=4)

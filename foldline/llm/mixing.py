@@ -97,9 +97,10 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
     hash are settled by id; rows that repeat an id are ranked one after the other. ``most`` bounds
     how often a document is taken. An empty table gives no rows.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(word_array(F.col(text_col))).cast("long").alias("size"), *[F.col(c) for c in keep if c not in (id_col, source_col)]
-    )
+    extra = [c for c in keep if c not in (id_col, source_col)]
+    key = (F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"))
+    row = F.struct(*extra) if extra else F.lit(None)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(word_array(F.col(text_col))).cast("long").alias("size"), row.alias("_row"))
     small = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(word_array(F.col(text_col))).cast("long").alias("size"))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     part = F.pmod(draw, F.lit(PARTS))
@@ -108,13 +109,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
     goal = targets(lengths.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most)
     both = lengths.alias("a").join(goal.alias("b"), F.expr("a.source <=> b.source")).select("a.source", "a.size", "a.n", "b.source_size", "b.target")
     plan = both.groupBy("source").applyInPandas(_plan, "source string, size long, passes int, take long")
-    rows = rows.withColumn("_part", part).withColumn("_draw", draw)
     run = Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = parts.withColumn("_before", F.coalesce(F.sum("n").over(run), F.lit(0)))
     quota = before.alias("p").join(plan.alias("q"), F.expr("p.source <=> q.source AND p.size = q.size")).join(goal.alias("g"), F.expr("p.source <=> g.source")).select(
-        F.col("p.source").alias("_source"), F.col("p.size").alias("_size"), F.col("p._part").alias("_in"), "passes", (F.col("take") - F.col("_before")).alias("_quota"), "source_size", "target"
+        "p.source", "p.size", "p._part", "passes", (F.col("take") - F.col("_before")).alias("_quota"), "source_size", "target"
     )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "_part").orderBy("_draw", "doc_id"))
-    ranked = rows.withColumn("_rank", rank)
-    joined = ranked.join(quota, F.expr("source <=> _source AND size = _size AND _part = _in"))
-    return joined.select("doc_id", "size", "source", "source_size", "target", (F.col("passes") + (F.col("_rank") <= F.col("_quota")).cast("int")).alias("times"), *[c for c in keep if c not in (id_col, source_col)])
+    on = ["_source", "_none", "size", "_part"]
+    rank = F.row_number().over(Window.partitionBy(*on).orderBy("_draw", "doc_id"))
+    ranked = rows.select("doc_id", "source", "size", *key, part.alias("_part"), draw.alias("_draw"), "_row").withColumn("_rank", rank)
+    joined = ranked.join(quota.select(*key, "size", "_part", "passes", "_quota", "source_size", "target"), on)
+    times = F.col("passes") + (F.col("_rank") <= F.col("_quota")).cast("int")
+    return joined.select("doc_id", "size", "source", "source_size", "target", times.alias("times"), *[F.col("_row")[c].alias(c) for c in extra])

@@ -9,10 +9,12 @@ from foldline.llm._shared import written
 from foldline.llm.bpe import bpe_decode, bpe_encode
 from foldline.llm.exact_dedup import exact_dedup
 from foldline.llm.line_dedup import line_dedup
+from foldline.llm.lm_scoring import lm_scores
 from foldline.llm.minhash import near_duplicates
 from foldline.llm.mixing import mix
 from foldline.llm.pii import KINDS, find_private
-from foldline.llm.quality_rules import fitted, pattern, base_failed, posterior, text_stats
+from foldline.llm.quality_classifier import classify
+from foldline.llm.quality_rules import base_failed, fitted, pattern, posterior, text_stats
 from foldline.llm.substring_dedup import substring_dedup
 
 
@@ -34,6 +36,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(documents(spark, sf_dir), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -63,6 +69,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "kept", F.round("quality", 6).alias("quality"), F.round("host_posterior", 6).alias("host_posterior"), F.round("path_posterior", 6).alias("path_posterior"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     out = bpe_decode(bpe_encode(documents(spark, sf_dir), path), path)
@@ -81,7 +92,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_substring_dedup, op4_quality_rules, op5_minhash, op6_exact_dedup, op7_mixing, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_substring_dedup, op4_quality_rules, op5_minhash, op6_exact_dedup, op7_mixing, op8_quality_classifier, op9_bpe, op10_pii)}
 #: Words of a text; its lines with a word, without outer white space, in order.
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 SQL: dict[str, str] = {
