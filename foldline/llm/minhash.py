@@ -5,7 +5,8 @@ A sketch has ``bands * rows`` coordinates. In round i each shingle is hashed to
 bin is filled within twice that number of rounds, and the share of equal bins keeps the concentration bounds of
 independent hashing. Equal texts and sets are one class before banding. Documents that share a band are
 compared with a hub of the band on their full shingle sets; members that do not join the hub's
-component get hubs of their own in further rounds, until no two members of a band in different components are left uncompared.
+component are compared with all others of the band: pair by pair in small bands, block by block in large
+ones, where only links leave the task. So no two members of a band in different components are left uncompared.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from foldline.llm import _packs as P
 from foldline.llm._shared import small_batches, written
 
+#: Members of a band that are still compared pair by pair, and members of a block in larger bands.
+SMALL, BLOCK = 64, 1024
 _SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
@@ -168,14 +171,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, ban
     known = written(_of(some, nodes).select("doc_id", "sketch"), "sketches")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_full_sets(_of(text, nodes), shingle), "sets")
-    hubs, done = 1, None
-    while True:
-        pairs, done = _round(members, nodes, done, hubs)
-        if pairs.isEmpty():
-            break
-        close = written(_similar(_with_sides(pairs, known, "sketch"), percent, "sketch", False), "close")
+    for hubs, most in ((1, None), (SMALL, SMALL)):
+        close = written(_similar(_with_sides(_round(members, nodes, hubs, most), known, "sketch"), percent, "sketch", False), "close")
         nodes = components(nodes, written(_similar(_with_sides(close, sets, "set"), percent, "set", True), "links"))
-        hubs *= 4
+    nodes = components(nodes, written(_block_links(members, nodes, sets, percent), "links"))
     classes = reps.join(nodes, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component_id"))
     found = some.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
     return found.unionByName(sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -192,24 +191,61 @@ def _with_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def _round(members: DataFrame, nodes: DataFrame, done: DataFrame | None, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each band's next ``hubs`` hubs with its members in other components, and all hubs so far.
-
-    A band is finished when all its members outside its largest component have been hubs: then every
-    two members are in one component or have been compared.
-    """
+def _open_bands(members: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their labels, and each band of several labels: its size, its largest label, and the members outside that."""
     at = members.join(nodes, F.col("rep") == F.col("node")).select("band", "rep", "label")
     sizes = at.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", F.negative("label").alias("label"))).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    largest = largest.select("band", F.negative("top.label").alias("largest"))
-    left = at.join(largest, "band").where("label <> largest")
-    if done is not None:
-        left = left.join(done, ["band", "rep"], "left_anti")
+    top = F.max(F.struct("n", F.negative("label").alias("label")))
+    bands = sizes.groupBy("band").agg(top.alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return at, written(bands.select("band", "n", F.negative("top.label").alias("largest"), (F.col("n") - F.col("top.n")).alias("outside")), "bands")
+
+
+def _round(members: DataFrame, nodes: DataFrame, hubs: int, most: int | None) -> DataFrame:
+    """Pairs of the first ``hubs`` members outside each band's largest component with its members in other components; bands of up to ``most`` members."""
+    at, bands = _open_bands(members, nodes)
+    if most is not None:
+        bands = bands.where(F.col("n") <= most)
+    left = at.join(bands, "band").where("label <> largest").select("band", "rep", "label")
     for key in (["band", "_part"], ["band"]):  # first within parts of a band, so that a large band is not ranked in one task
         rank = F.row_number().over(Window.partitionBy(*key).orderBy("rep"))
         left = left.withColumn("_part", F.pmod(F.xxhash64("rep"), F.lit(64))).repartition(*key).withColumn("_n", rank).where(F.col("_n") <= hubs).drop("_n")
     next_ = written(left.select("band", F.col("rep").alias("hub"), F.col("label").alias("hub_label")), "hubs")
     other = at.join(next_, "band").where("label <> hub_label")
-    pairs = written(other.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
-    made = next_.select("band", F.col("hub").alias("rep"))
-    return pairs, made if done is None else done.unionByName(made)
+    return written(other.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) in bands of over SMALL members: blocks of the members outside the largest component against blocks of all."""
+    at, bands = _open_bands(members, nodes)
+    bands = bands.where(F.col("n") > SMALL).select("band", "largest", F.ceil(F.col("outside") / BLOCK).alias("lefts"), F.ceil(F.col("n") / BLOCK).alias("rights"))
+    at = at.join(bands, "band")
+    draw = F.xxhash64("rep")
+    left = at.where("label <> largest").select("band", "rep", "label", F.pmod(draw, "lefts").alias("lb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("rb"), F.lit(0).alias("side"))
+    right = at.select("band", "rep", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("lb"), F.pmod(draw, "rights").alias("rb"), F.lit(1).alias("side"))
+    rows = left.unionByName(right).join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("band", "lb", "rb", "side", "rep", "label", "set")
+
+    def compare(t: pa.Table) -> pa.Table:
+        side = t["side"].to_numpy()
+        own = [np.flatnonzero(side == k) for k in (0, 1)]
+        got = [[np.frombuffer(t["set"][int(i)].as_py(), np.uint64) for i in x] for x in own]
+        a, b = [], []
+        if got[0] and got[1]:
+            flat = [np.concatenate(x) for x in got]
+            common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+            both = np.zeros((len(got[0]), len(got[1])), np.float32)
+            for k in range(0, len(common), 4096):
+                part = common[k : k + 4096]
+                grids = []
+                for x in got:
+                    grid = np.zeros((len(x), len(part)), np.float32)
+                    for j, s in enumerate(x):
+                        grid[j, np.flatnonzero(np.isin(part, s, assume_unique=True))] = 1
+                    grids.append(grid)
+                both += grids[0] @ grids[1].T
+            size = [np.array([len(s) for s in x]) for x in got]
+            rep, label = t["rep"].to_numpy(), t["label"].to_numpy()
+            i, j = np.nonzero((100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)) & (label[own[0]][:, None] != label[own[1]][None, :]))
+            a, b = rep[own[0][i]], rep[own[1][j]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("band", "lb", "rb").applyInArrow(compare, "a long, b long").distinct()
