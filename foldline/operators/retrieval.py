@@ -29,7 +29,7 @@ def cosine_scores(docs: DataFrame, query: str, id_col: str, text_col: str) -> Da
     tokens = terms(F.coalesce(F.col(text_col), F.lit("")))
     dot = F.lit(0)
     for t, n in sorted(q.items()):
-        dot = dot + F.size(F.filter(F.col("_terms"), lambda x, t=t: x == t)) * n
+        dot = dot + F.size(F.filter(F.col("_terms"), _equal_to(t))) * n
     ordered = F.array_sort(F.col("_terms"))
     runs = F.aggregate(
         ordered,
@@ -51,6 +51,10 @@ def top_k(docs: DataFrame, query: str, k: int, id_col: str, text_col: str) -> Da
     return cosine_scores(docs, query, id_col, text_col).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
 
 
+def _equal_to(term: str):
+    return lambda x: x == term
+
+
 def _ascii_terms(text: str) -> list[str]:
     import re
 
