@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from foldline.llm._shared import SPACE, fresh_path
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; many small stores neither preallocate files nor upload whole snapshots each batch.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -35,12 +39,14 @@ def digest_state(spark: SparkSession, path: str, checkpoint: str, *, id_col: str
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, which may name one file
     keyed = _digested(stream, id_col, text_col).select(F.unhex(F.sha2("_text", 256)).alias("digest"), "doc_id", "_at")
     state = keyed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.min("_at").alias("content_at"), F.count(F.lit(1)).alias("group_size"))
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.format("statestore").load(checkpoint).select("key.digest", "value.*").toDF("digest", "keep_id", "content_at", "group_size")
 
 
