@@ -15,16 +15,18 @@ def char_windows(text: Column, target: int, overlap: int, least: int) -> Column:
     """
     overlap = overlap if overlap < target else target // 4
     step = target - overlap
-    s = strip(F.coalesce(text, F.lit("")))
-    n = F.when(F.length(s) <= target, 1).otherwise(F.ceil((F.length(s) - target) / step) + 1).cast("int")
-    pieces = F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda k: strip(F.substring(s, k * step + 1, F.lit(target)))), lambda p: p != "")
+
+    def pieces(s: Column) -> Column:
+        n = F.when(F.length(s) <= target, 1).otherwise(F.ceil((F.length(s) - target) / step) + 1).cast("int")
+        return F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda k: strip(F.substring(s, k * step + 1, F.lit(target)))), lambda p: p != "")
 
     def tail(p: Column) -> Column:
         size = F.size(p)
         merged = F.concat(F.slice(p, F.lit(1), F.greatest(size - 2, F.lit(0))), F.array(strip(F.concat(F.get(p, size - 2), F.lit("\n"), F.get(p, size - 1)))))
         return F.when((size > 1) & (F.length(F.get(p, size - 1)) < least), merged).otherwise(p)
 
-    return F.transform(F.array(pieces), tail)[0]
+    # as elements of arrays of one, the stripped text and its pieces are computed once for each row
+    return F.transform(F.transform(F.array(strip(F.coalesce(text, F.lit("")))), pieces), tail)[0]
 
 
 def chunks(docs: DataFrame, target: int = 1200, overlap: int = 150, least: int = 200) -> DataFrame:
