@@ -77,7 +77,7 @@ def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def char_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunking.chunks(_docs(spark, sf_dir))
-    return found.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk_id", F.md5("text").alias("text_md5"))
+    return found.select("doc_id", F.col("page_idx").cast("long").alias("page_idx"), F.col("chunk_no").cast("long").alias("chunk_no"), "chunk_id", F.md5("text").alias("text_md5"))
 
 
 def duplicate_line_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,12 +165,12 @@ SQL = {
             UNION ALL SELECT t.doc_id, t.block_idx, t.level, t.parent_idx, r.path || '>' || t.text FROM t JOIN r ON t.doc_id = r.doc_id AND t.parent_idx = r.block_idx)
         SELECT doc_id, block_idx, level, parent_idx, md5(path) AS path_md5 FROM r""",
     "char_chunks": f"""
-        WITH s AS (SELECT doc_id, {_strip("coalesce(text, '')")} AS s FROM documents),
-        n AS (SELECT *, CASE WHEN length(s) <= 1200 THEN 1 ELSE ceil((length(s) - 1200) / 1050)::INT + 1 END AS n FROM s),
-        p AS (SELECT doc_id, n, k, {_strip("substr(s, (k * 1050 + 1)::BIGINT, 1200)")} AS p FROM n, LATERAL (SELECT unnest(range(n)) AS k)),
-        q AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS no, count(*) OVER (PARTITION BY doc_id) AS n, lead(p) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM p WHERE p <> ''),
-        t AS (SELECT doc_id, no, CASE WHEN no = n - 2 AND length(next) < 200 THEN {_strip("p || chr(10) || next")} ELSE p END AS text FROM q WHERE NOT (no = n - 1 AND n > 1 AND length(p) < 200))
-        SELECT doc_id, no AS chunk_no, doc_id::VARCHAR || '-c' || lpad((no + 1)::VARCHAR, greatest(3, length((no + 1)::VARCHAR))::INT, '0') AS chunk_id, md5(text) AS text_md5 FROM t""",
+        WITH s AS (SELECT doc_id, unnest(range(len(x))) AS page, {_strip("unnest(x)")} AS s FROM (SELECT doc_id, string_split(text, chr(12)) AS x FROM documents)),
+        n AS (SELECT *, CASE WHEN length(s) <= 1200 THEN 1 ELSE ceil((length(s) - 1200) / 1080)::INT + 1 END AS n FROM s),
+        p AS (SELECT doc_id, page, n, k, {_strip("substr(s, (k * 1080 + 1)::BIGINT, 1200)")} AS p FROM n, LATERAL (SELECT unnest(range(n)) AS k)),
+        q AS (SELECT doc_id, page, p, row_number() OVER w - 1 AS no, count(*) OVER (PARTITION BY doc_id, page) AS n, lead(p) OVER w AS next FROM p WHERE p <> '' WINDOW w AS (PARTITION BY doc_id, page ORDER BY k)),
+        t AS (SELECT doc_id, page, no, CASE WHEN no = n - 2 AND length(next) < 250 THEN {_strip("p || chr(10) || next")} ELSE p END AS text FROM q WHERE NOT (no = n - 1 AND n > 1 AND length(p) < 250))
+        SELECT doc_id, page AS page_idx, no AS chunk_no, doc_id || '-p' || lpad((page + 1)::VARCHAR, greatest(4, length((page + 1)::VARCHAR))::INT, '0') || '-c' || lpad((no + 1)::VARCHAR, greatest(3, length((no + 1)::VARCHAR))::INT, '0') AS chunk_id, md5(text) AS text_md5 FROM t""",
     "duplicate_line_rate": f"""
         WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: lower({_strip("x")})), lambda x: length(x) >= 8) AS x FROM documents)
         SELECT doc_id, len(x)::BIGINT AS n_lines, round((len(x) - len(list_distinct(x))) / greatest(len(x), 1), 9) AS duplicate_line_rate FROM x""",

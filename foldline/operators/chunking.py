@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldline.functions.text import not_blank, strip
+from foldline.sources.files import text_pages
 
 
 def char_windows(text: Column, target: int, overlap: int, least: int) -> Column:
@@ -29,10 +30,10 @@ def char_windows(text: Column, target: int, overlap: int, least: int) -> Column:
     return F.transform(F.transform(F.array(strip(F.coalesce(text, F.lit("")))), pieces), tail)[0]
 
 
-def chunks(docs: DataFrame, target: int = 1200, overlap: int = 150, least: int = 200) -> DataFrame:
-    """(doc_id, chunk_no, chunk_id, text) of each document."""
-    rows = docs.select("doc_id", F.posexplode(char_windows(F.col("text"), target, overlap, least)).alias("chunk_no", "text"))
-    return rows.select("doc_id", "chunk_no", F.format_string("%s-c%03d", F.col("doc_id").cast("string"), F.col("chunk_no") + 1).alias("chunk_id"), "text")
+def chunks(docs: DataFrame, target: int = 1200, overlap: int = 120, least: int = 250) -> DataFrame:
+    """(doc_id, page_idx, chunk_no, chunk_id, text): the pieces of each page of a document; pages end at form feeds and no piece crosses them."""
+    rows = text_pages(docs).select("doc_id", "page_idx", F.posexplode(char_windows(F.col("text"), target, overlap, least)).alias("chunk_no", "text"))
+    return rows.select("doc_id", "page_idx", "chunk_no", F.format_string("%s-p%04d-c%03d", F.col("doc_id").cast("string"), F.col("page_idx") + 1, F.col("chunk_no") + 1).alias("chunk_id"), "text")
 
 
 def nearest_rank(lengths: Column, percent: int) -> Column:
