@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from foldline.llm.lm_scoring import lm_scores  # noqa: E402
 from foldline.llm.minhash import near_duplicates  # noqa: E402
 from foldline.llm.mixing import fit_budget, mix  # noqa: E402
 from foldline.llm.pii import find_private  # noqa: E402
-from foldline.llm.quality_classifier import classify  # noqa: E402
+from foldline.llm.quality_classifier import classify, word_scales  # noqa: E402
 from foldline.llm.quality_rules import fitted, quality_rules, text_stats  # noqa: E402
 from foldline.llm.queries import vocabulary  # noqa: E402
 from foldline.llm.substring_dedup import substring_dedup  # noqa: E402
@@ -134,3 +135,9 @@ def test_classify(spark, docs, empty):
     got = classify(docs, labels).collect()
     assert len(got) == len(rows()) and all(0 <= r["quality"] <= 1 for r in got)
     assert classify(empty, labels).count() == 0
+
+
+def test_word_scales_ignore_chance():
+    doc, col = np.array([*range(40), 45]), np.array([7] * 40 + [9])
+    scale = word_scales(doc, col, np.array([0] * 40 + [1] * 40, float))
+    assert scale[7] > 1 and scale[9] == 0 and scale[-1] == 1
