@@ -116,6 +116,16 @@ def _signature(c: str) -> str:
 
 _KINDS = " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TYPES))
 _HAS = lambda *x: "(" + " OR ".join(f"contains(lower(p), '{t}')" for t in x) + ")"
+#: Of paragraphs q (p): signals of code, whether it is code, and its language.
+_JUDGED = f"""l AS (SELECT *, list_filter(list_transform(string_split(p, {_NL}), lambda x: regexp_replace(x, '[{_WS}]+$', '')), lambda x: x <> '') AS x FROM q),
+        j AS (SELECT *, array_to_string(x, {_NL}) AS j FROM l),
+        n AS (SELECT *, length(j) - length(translate(j, '{code.SYMBOLS}', '')) AS n,
+            regexp_matches(j, '(?i)\\b({"|".join(code.KEYWORDS)})\\b')::INT AS a, (len(list_filter(x, lambda y: y LIKE '    %' OR y LIKE chr(9) || '%')) > 0)::INT AS b,
+            (len(list_filter(x, lambda y: regexp_matches(y, '(;|\\{{|\\}}|\\],|\\),)$'))) > 0)::INT AS c FROM j),
+        d AS (SELECT *, (n >= 6 OR (n >= 4 AND n / greatest(length(j), 1) >= 0.03))::INT AS d FROM n)"""
+_IS_CODE = "NOT contains(j, '```') AND CASE WHEN len(x) = 1 THEN a + b + c + d >= 3 OR (d = 1 AND a + c >= 1) ELSE a + b + c + d >= 2 END"
+_LANGUAGE = f"""CASE WHEN {_HAS("function ", "const ", "let ", "=>", "switch(")} THEN 'javascript' WHEN {_HAS("def ", "import ", "from ")} AND contains(p, ':') THEN 'python'
+            WHEN contains(p, '{{') AND contains(p, '}}') AND contains(p, ':') AND contains(p, '"') THEN 'json' ELSE 'text' END"""
 SQL = {
     "content_family": f"""
         WITH k AS (SELECT doc_id, lower(trim(split_part(CASE doc_id % {len(TYPES)} {_KINDS} END, ';', 1))) AS k FROM documents),
@@ -175,16 +185,10 @@ SQL = {
     "code_paragraphs": f"""
         WITH s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\n(?:[{_WS}]*\\n)+'), lambda x: regexp_matches(x, '[^{_WS}]')) AS x FROM conversations),
         q AS (SELECT conv_id, turn, unnest(x) AS p, generate_subscripts(x, 1) - 1 AS para_no FROM s),
-        l AS (SELECT *, list_filter(list_transform(string_split(p, {_NL}), lambda x: regexp_replace(x, '[{_WS}]+$', '')), lambda x: x <> '') AS x FROM q),
-        j AS (SELECT *, array_to_string(x, {_NL}) AS j FROM l),
-        n AS (SELECT *, length(j) - length(translate(j, '{code.SYMBOLS}', '')) AS n,
-            regexp_matches(j, '(?i)\\b({"|".join(code.KEYWORDS)})\\b')::INT AS a, (len(list_filter(x, lambda y: y LIKE '    %' OR y LIKE chr(9) || '%')) > 0)::INT AS b,
-            (len(list_filter(x, lambda y: regexp_matches(y, '(;|\\{{|\\}}|\\],|\\),)$'))) > 0)::INT AS c FROM j),
-        d AS (SELECT *, (n >= 6 OR (n >= 4 AND n / greatest(length(j), 1) >= 0.03))::INT AS d FROM n)
+        {_JUDGED}
         SELECT conv_id, turn, para_no::BIGINT AS para_no,
-            NOT contains(j, '```') AND CASE WHEN len(x) = 1 THEN a + b + c + d >= 3 OR (d = 1 AND a + c >= 1) ELSE a + b + c + d >= 2 END AS is_code,
-            CASE WHEN {_HAS("function ", "const ", "let ", "=>", "switch(")} THEN 'javascript' WHEN {_HAS("def ", "import ", "from ")} AND contains(p, ':') THEN 'python'
-            WHEN contains(p, '{{') AND contains(p, '}}') AND contains(p, ':') AND contains(p, '"') THEN 'json' ELSE 'text' END AS language FROM d""",
+            {_IS_CODE} AS is_code,
+            {_LANGUAGE} AS language FROM d""",
     "html_strip_tags": f"""
         WITH a AS (SELECT page_id, regexp_replace(html, '(?i)<br[\\x09-\\x0D ]*/?>|</p[\\x09-\\x0D ]*>|</tr[\\x09-\\x0D ]*>', {_NL}, 'g') AS t FROM pages),
         b AS (SELECT page_id, replace(replace(regexp_replace(t, '<[^>]+>', '', 'g'), {_CR} || {_NL}, {_NL}), {_CR}, {_NL}) AS t FROM a)

@@ -55,3 +55,19 @@ def select_pages(candidates: DataFrame, force: str | None = None) -> DataFrame:
     )
     engine = F.when(F.col("tier") == 3, F.lit(None)).when(F.col("tier") == 2, F.col("by_priority")).otherwise(F.col("engine"))
     return ranked.where("rn = 1").select("doc_id", "page_idx", engine.alias("selected_engine"), reason.alias("reason"))
+
+
+def selection_log(candidates: DataFrame, selected: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, selected_engine, reason, scores, statuses): why each page's engine was selected, with maps by engine.
+
+    Pages without a selection have the reason ``unknown``.
+    """
+    by = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", value))))
+    found = candidates.withColumn("_score", score()).groupBy("doc_id", "page_idx").agg(by("_score").alias("scores"), by("status").alias("statuses"))
+    joined = found.join(selected, ["doc_id", "page_idx"], "left")
+    return joined.select("doc_id", "page_idx", "selected_engine", F.coalesce("reason", F.lit("unknown")).alias("reason"), "scores", "statuses")
+
+
+def engine_counts(selected: DataFrame) -> DataFrame:
+    """(doc_id, selected_engine, n_pages) of pages with a selection."""
+    return selected.where("selected_engine IS NOT NULL").groupBy("doc_id", "selected_engine").agg(F.count(F.lit(1)).alias("n_pages"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldline.functions.text import WS, not_blank
+from foldline.functions.text import WS, not_blank, strip
 
 #: Words of code, symbols, and ends of lines of code.
 KEYWORDS = (
@@ -48,3 +48,23 @@ def language(paragraph: Column) -> Column:
         F.when(any_of("function ", "const ", "let ", "=>", "switch("), "javascript").when(any_of("def ", "import ", "from ") & paragraph.contains(":"), "python")
         .when(paragraph.contains("{") & paragraph.contains("}") & paragraph.contains(":") & paragraph.contains('"'), "json").otherwise("text")
     )
+
+
+def fence_code(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n_fenced): paragraphs of code put into fences with their language; text in fences stays as it is.
+
+    Null texts have no row; ids are unique. Paragraphs are judged in partitions of (doc_id, paragraph) that the one of doc_id serves.
+    """
+    at = Window.partitionBy("doc_id").orderBy("no")
+    upto = at.rowsBetween(Window.unboundedPreceding, 0)
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1)).alias("no", "line"))
+    fence = strip(F.col("line")).startswith("```")
+    rows = rows.withColumn("fences", F.sum(fence.cast("int")).over(upto))
+    rows = rows.withColumn("plain", ~fence & (F.col("fences") % 2 == 0) & not_blank(F.col("line")))
+    rows = rows.withColumn("para", F.sum((~F.col("plain")).cast("int")).over(upto))
+    runs = rows.groupBy("doc_id", "para", "plain").agg(F.min("no").alias("no"), F.array_sort(F.collect_list(F.struct("no", "line"))).alias("x"))
+    body = F.array_join(F.transform("x", lambda s: s["line"]), "\n")
+    judged = runs.select("doc_id", "no", "plain", body.alias("body")).withColumn("code", F.col("plain") & is_code(F.col("body")))
+    text = F.when(F.col("code"), F.concat(F.lit("```"), language(F.col("body")), F.lit("\n"), "body", F.lit("\n```"))).otherwise(F.col("body"))
+    joined = judged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", text.alias("text")))).alias("x"), F.sum(F.col("code").cast("long")).alias("n_fenced"))
+    return joined.select("doc_id", F.array_join(F.transform("x", lambda s: s["text"]), "\n").alias("text"), "n_fenced")
