@@ -13,7 +13,7 @@ from foldline.llm._shared import written  # noqa: E402
 from foldline.llm.bpe import bpe_decode, bpe_encode  # noqa: E402
 from foldline.llm.exact_dedup import exact_dedup  # noqa: E402
 from foldline.llm.line_dedup import line_dedup  # noqa: E402
-from foldline.llm.lm_scoring import lm_scores  # noqa: E402
+from foldline.llm.lm_scoring import _level, held_out, level_counts, lm_scores  # noqa: E402
 from foldline.llm.minhash import near_duplicates  # noqa: E402
 from foldline.llm.mixing import fit_budget, mix  # noqa: E402
 from foldline.llm.pii import find_private  # noqa: E402
@@ -101,6 +101,30 @@ def test_lm_scores(docs, empty):
     assert lm_scores(empty, bits=1 << 20).count() == 0
 
 
+def test_lm_scores_keep_every_pair(spark, docs):
+    many = [(k, " ".join(f"v{k}x{i}" for i in range(400)), None, None, k, k, k, "x", "y") for k in range(20, 60)]
+    wide = written(docs.union(spark.createDataFrame(many, SCHEMA)), "wide")
+    least, most = (sorted((r["doc_id"], round(r["score"], 6)) for r in lm_scores(wide, bits=b).collect()) for b in (1 << 10, 1 << 26))
+    assert least == most  # some 16,000 pairs; the filter grows past 1,024 bits instead of leaving pairs out
+
+    def tokens(t):
+        return [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None]
+
+    texts = [(k, tokens(t)) for k, t, *_ in [*rows(), *many]]
+    trained = [t for k, t in texts if not held_out([k])[0]]
+    word, pair = Counter(w for t in trained for w in t), Counter(p for t in trained for p in zip([None, *t[:-1]], t, strict=True))
+    n = sum(word.values())
+
+    def score(t):
+        out = 0.0
+        for a, b in zip([None, *t[:-1]], t, strict=True):
+            c = min(float(level_counts(_level(np.array([pair[a, b]])))[0]) if pair[a, b] else 0.0, word[a], word[b])
+            out += np.log10((c + 100 * (word[b] + 0.5) / (n + 0.5 * (len(word) + 1))) / (word[a] + 100))
+        return out
+
+    assert np.allclose([s for _, s in most], [s for _, s in sorted((k, score(t)) for k, t in texts)], atol=1e-5)
+
+
 def test_quality(docs, empty):
     stats = docs.select(text_stats(F.col("text")).alias("stats"))
     got = {r["doc_id"]: r["quality"] for r in quality_rules(docs, fitted(stats)).collect()}
