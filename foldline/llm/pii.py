@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation of personal data.
 
 Patterns find protected entities (email and IP addresses, card and phone numbers). The corpus then tells
-how much the words around an entity reveal it: a word discloses an entity if its pointwise mutual
-information with it reaches a share of the entity's own information. Such words, near the entity, are
-generalised or removed with it.
+how much the words around an entity reveal it: a word discloses an entity, which is a value or a whole
+kind, if its pointwise mutual information with it reaches a share of the entity's own information. Such
+words, near the entity, are generalised or removed with it.
 """
 
 from __future__ import annotations
@@ -87,31 +87,50 @@ def _terms(part: Column, from_right: bool, near: int) -> Column:
     return let(ordered, lambda x: F.slice(x, F.greatest(F.size(x) - near, F.lit(0)) + 1, near)) if from_right else F.slice(ordered, 1, near)
 
 
+def _levels(kind: Column, value: Column) -> Column:
+    """Column: the entities that a match counts for, its value and its kind."""
+    return F.explode(F.array(F.xxhash64(kind, value), F.xxhash64(kind)))
+
+
 def contexts(found: DataFrame, near: int, reach: int = 200) -> DataFrame:
-    """(doc_id, _text, entity, term, start, end) for the words near each entity of ``found`` (doc_id, _text, text, spans)."""
+    """(doc_id, _text, entity, place, term, start, end) for the words near each entity of ``found`` (doc_id, _text, text, spans).
+
+    ``place`` is where the entity starts. Words are whole; those that adjoin the entity end or begin at it.
+    The ``near`` words are looked for in ``reach`` characters, and in the whole text where these hold too few.
+    """
+    some = rf"\A[^{SPACE}]*+(?:[{SPACE}]++[^{SPACE}]++){{0,{near}}}+"
     e = found.select("doc_id", "_text", "text", F.explode("spans").alias("e"))
-    before = F.expr("substring(text, greatest(e.start - {r}, 0) + 1, least(e.start, {r}))".format(r=reach))
-    after = F.expr(f"substring(text, e.end + 1, {reach})")
-    e = e.select("doc_id", "_text", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), F.col("e.start").alias("s"), F.col("e.end").alias("t"), before.alias("b"), after.alias("a"))
+    e = e.select("doc_id", "_text", "text", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), F.col("e.start").alias("s"), F.col("e.end").alias("t"))
+    before, after = F.expr(f"substring(text, greatest(s - {reach}, 0) + 1, least(s, {reach}))"), F.expr(f"substring(text, t + 1, {reach})")
+    full = lambda part: F.size(word_array(part)) > near
+    before = F.when((F.col("s") <= reach) | full(before), before).otherwise(F.reverse(F.regexp_extract(F.reverse(F.expr("substring(text, 1, s)")), some, 0)))
+    after = F.when((F.length(after) < reach) | full(after), after).otherwise(F.regexp_extract(F.expr("substring(text, t + 1)"), some, 0))
+    e = e.select("doc_id", "_text", "kind", "value", "s", "t", before.alias("b"), after.alias("a"))
     left = F.transform(_terms(F.col("b"), True, near), lambda x: F.struct(x["word"].alias("word"), (x["at"] + F.col("s") - F.length("b")).alias("start")))
     right = F.transform(_terms(F.col("a"), False, near), lambda x: F.struct(x["word"].alias("word"), (x["at"] + F.col("t")).alias("start")))
-    words = e.select("doc_id", "_text", F.xxhash64("kind", "value").alias("entity"), F.concat(left, right).alias("words"))
-    words = words.select("doc_id", "_text", "entity", F.explode("words").alias("w"))
-    return words.select("doc_id", "_text", "entity", F.lower("w.word").alias("term"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"))
+    words = e.select("doc_id", "_text", "kind", "value", F.col("s").alias("place"), F.explode(F.concat(left, right)).alias("w"))
+    return words.select(
+        "doc_id", "_text", _levels(F.col("kind"), F.col("value")).alias("entity"), "place",
+        F.lower("w.word").alias("term"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"),
+    )
 
 
-def disclosing(near: DataFrame, docs: DataFrame, threshold: float, support: int, text_col: str = "text") -> DataFrame:
-    """(entity, term) where the term reveals the entity.
+def disclosing(around: DataFrame, found: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(entity, term) where the term reveals the entity; ``around`` as of ``contexts``, ``found`` (_text, text, spans) all texts.
 
-    Over N texts, pmi = log2(N n(e,t) / (n(e) n(t))) must reach ``threshold`` times log2(N / n(e)), and the
-    two must meet in at least ``support`` different texts: equal copies of a text count once.
+    Over N different texts, pmi = log2(N n(e,t) / (n(e) n(t))) must reach ``threshold`` times log2(N / n(e)), and the
+    two must meet at ``support`` places at least, in one text or in several. Equal copies of a text count once everywhere.
     """
-    once = near.select("_text", "entity", "term").distinct()
-    joint = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    entity = near.select("_text", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.transform(word_array(F.col(text_col)), F.lower))).alias("term"))
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.agg(F.count(F.lit(1)).alias("n_all"))
+    meet = around.select("_text", "entity", "term", "place").distinct().groupBy("entity", "term", "_text").agg(F.count(F.lit(1)).alias("n"))
+    joint = meet.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.sum("n").alias("n_places")).where(F.col("n_places") >= support)
+    marked = found.select("_text", F.explode("spans").alias("e")).select("_text", _levels(F.col("e.kind"), F.col("e.value")).alias("entity"))
+    entity = marked.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    once = found.select("_text", "text", (F.size("spans") > 0).alias("marked")).dropDuplicates(["_text"])
+    words = once.select("_text", "marked", F.explode(F.array_distinct(F.transform(word_array(F.col("text")), F.lower))).alias("term"))
+    # parts of words that adjoin an entity count as terms of their text
+    near = words.where("marked").select("_text", "term").union(around.select("_text", "term")).distinct()
+    terms = words.where("NOT marked").select("term").union(near.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    total = found.select("_text").distinct().agg(F.count(F.lit(1)).alias("n_all"))
     known = joint.join(entity, "entity").join(terms, "term").crossJoin(F.broadcast(total))
     own = F.log2(F.col("n_all") / F.col("n_entity"))
     pmi = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
@@ -123,11 +142,11 @@ def find_private(docs: DataFrame, *, near: int = 5, threshold: float = 0.75, sup
 
     Returns doc_id, spans (base: kind, start, end, value, by kind and start) and terms (array of (start, end)
     of disclosing words near an entity, sorted, without those inside a base span). Null and empty texts have
-    none. Rows that repeat an id and text get the same spans. Counts cover all rows.
+    none. Rows that repeat an id and text get the same spans. Counts cover all different texts.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("text"), entity_spans(F.col(text_col)).alias("spans"))
     around = contexts(base.where(F.size("spans") > 0), near)
-    flagged = disclosing(around, docs, threshold, support, text_col)
+    flagged = disclosing(around, base, threshold, support)
     extra = around.join(flagged, ["entity", "term"]).groupBy("doc_id", "_text").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     joined = base.select("doc_id", "_text", "spans").alias("a").join(extra.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a._text <=> b._text"), "left")
     spans = F.col("spans")

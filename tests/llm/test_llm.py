@@ -154,6 +154,23 @@ def test_find_private(docs, empty):
     assert find_private(empty).count() == 0
 
 
+def test_private_terms(spark):
+    long = "y" * 300
+    texts = [f"plain filler number{k} here" for k in range(40)]
+    copied = ["zorblax wrote 10.0.0.1 first", "so 10.0.0.1 zorblax second", "third zorblax 10.0.0.1"]
+    texts += copied + copied[:1] * 60  # copies must not hide the term
+    texts += [f"n{k} mailbox u{k}@x.org q{k}" for k in range(5)]  # no value repeats, the kind does
+    texts += ["quux 10.9.9.9 a b c d e f g h quux 10.9.9.9 i j k l m n o p quux 10.9.9.9"]  # evidence in one text
+    texts += [f"r{k} snark {long} {long} +1 212 555 010{k}" for k in range(3)]  # beyond 200 characters
+    texts += [f"tel:+44 20 7946 095{k} s{k}" for k in range(3)]  # a part of a word that adjoins the entity
+    d = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "private")
+    got = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["terms"]} for r in find_private(d).collect()}
+    want = {k: set() for k in range(len(texts))}
+    for k, t in enumerate(texts):
+        want[k] = {w for w in ("zorblax", "mailbox", "quux", "snark", long, "tel:") if k >= 40 and w in t}
+    assert got == want
+
+
 def test_classify(spark, docs, empty):
     labels = spark.createDataFrame([(k, int(k > 6), 0) for k in range(14)], "doc_id long, quality int, toxic int")
     got = classify(docs, labels).collect()
