@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of runs of two lines or more."""
-    out = line_dedup(docs.select(*COLUMNS), run_lines=2)
+    """Texts without later repeats of runs of two lines or more, and of lines of 50 words or more."""
+    out = line_dedup(docs.select(*COLUMNS), run_lines=2, run_words=50)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

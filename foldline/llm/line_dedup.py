@@ -24,7 +24,19 @@ def _lines(text: Column) -> Column:
     return F.filter(numbered, lambda x: x["h"].isNotNull())
 
 
-def line_runs(docs: DataFrame, run_lines: int = 2, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _long_lines(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text, no) of later repeats of single lines of at least ``words`` words."""
+    split = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(F.trim(x, F.lit(SPACE_CHARS)).alias("x"), i.alias("no")))
+    long = F.filter(split, lambda y: F.size(F.split(y["x"], f"[{SPACE}]+")) >= words)
+    lines = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_text"),
+        F.explode(F.transform(long, lambda y: F.struct(F.xxhash64(y["x"]).alias("h"), y["no"].alias("no")))).alias("l"),
+    ).select("_id", "_text", "l.h", "l.no")
+    first = lines.groupBy("h").agg(F.min(F.struct("_id", "no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
+    return lines.join(first, "h").where(F.struct("_id", "no") > F.col("first")).select("_id", "_text", "no")
+
+
+def line_runs(docs: DataFrame, run_lines: int = 2, *, run_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _text, _gone): line numbers to delete from each text that has any. See ``line_dedup``."""
     w = run_lines
     keyed = docs.select(
@@ -44,11 +56,14 @@ def line_runs(docs: DataFrame, run_lines: int = 2, *, id_col: str = "doc_id", te
     placed = around.select("_id", "_text", "at", F.get("windows", F.col("at"))["h"].alias("h"), F.transform(F.slice("lines", F.col("at") + 1, w), lambda y: y["no"]).alias("nos"))
     first = placed.groupBy("h").agg(F.min(F.struct("_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
     later = placed.join(first, "h").where((F.col("_id") > F.col("first._id")) | ((F.col("_id") == F.col("first._id")) & (F.col("at") >= F.col("first.at") + w)))
-    return later.select("_id", "_text", F.explode("nos").alias("no")).groupBy("_id", "_text").agg(F.array_sort(F.collect_set("no")).alias("_gone"))
+    gone = later.select("_id", "_text", F.explode("nos").alias("no"))
+    if run_words is not None:
+        gone = gone.union(_long_lines(docs, run_words, id_col, text_col))
+    return gone.groupBy("_id", "_text").agg(F.array_sort(F.collect_set("no")).alias("_gone"))
 
 
-def line_dedup(docs: DataFrame, run_lines: int = 2, *, id_col: str = "doc_id", text_col: str = "text", out_col: str = "removed_lines") -> DataFrame:
-    """Delete later repeats of runs of at least ``run_lines`` lines; one row for each input row, all columns kept.
+def line_dedup(docs: DataFrame, run_lines: int = 2, *, run_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", out_col: str = "removed_lines") -> DataFrame:
+    """Delete later repeats of runs of at least ``run_lines`` lines, and of single lines of at least ``run_words`` words if given; one row for each input row, all columns kept.
 
     Lines are split at ``\\n`` and compared without outer white space; lines without a word are
     neither compared nor deleted and do not end a run. A run is a later repeat if the same lines
@@ -57,7 +72,7 @@ def line_dedup(docs: DataFrame, run_lines: int = 2, *, id_col: str = "doc_id", t
     deleted line numbers (an existing column of that name is replaced). Null texts stay null and empty
     ones empty. A null id counts as the smallest; rows that repeat an id with the same text keep theirs alike.
     """
-    gone = line_runs(docs, run_lines, id_col=id_col, text_col=text_col)
+    gone = line_runs(docs, run_lines, run_words=run_words, id_col=id_col, text_col=text_col)
     names = [c for c in docs.columns if c != out_col]
     keyed = docs.select(F.struct(*names).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_text"))
     lines = F.split(F.col("_row")[text_col], "\n", -1)

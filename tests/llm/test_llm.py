@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("foldline.llm.queries")
+import corpus_pipeline  # noqa: E402
 from foldline.llm._shared import written  # noqa: E402
 from foldline.llm.bpe import bpe_decode, bpe_encode  # noqa: E402
 from foldline.llm.exact_dedup import exact_dedup  # noqa: E402
@@ -85,6 +86,16 @@ def test_line_dedup(docs, empty):
     assert line_dedup(docs).count() == len(rows()) and line_dedup(empty).count() == 0
 
 
+def test_long_single_lines(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    texts = [f"a\n{long}\nb", f"c\n {long}\t\nshort\n{long}\nd", long, "short", long + " x", None, "\n\n"]
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    d = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, d.select(*columns), "").collect()}
+    assert kept == {0: texts[0], 1: "c\nshort\nd", 2: "", 3: "short", 4: texts[4], 5: None, 6: "\n\n"}
+    assert {r["doc_id"]: r["text"] for r in line_dedup(d).collect()}[2] == long
+
+
 def test_exact_dedup(spark, docs, empty, tmp_path):
     docs.write.parquet(f"{tmp_path}/d.parquet")
     got = {r["doc_id"]: r for r in exact_dedup(spark, f"{tmp_path}/d.parquet").collect()}
