@@ -95,6 +95,19 @@ def segment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("start_off").cast("long").alias("start_off"), F.col("end_off").cast("long").alias("end_off"), F.md5("passage").alias("passage_md5"))
 
 
+def block_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, start, end) of all blocks; the first begins 3 characters before the text, one that ends the text 40 after it."""
+    found = structure.blocks(docs).select("doc_id", "block_idx", "start_off", "end_off")
+    start = F.when(F.col("block_idx") == 0, F.lit(-3)).otherwise(F.col("start_off"))
+    end = F.col("end_off") + F.when(F.col("end_off") == F.length("text"), 40).otherwise(0)
+    return found.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", start.alias("start"), end.alias("end"))
+
+
+def segment_block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunking.clamp_spans(block_spans(marked_up(_docs(spark, sf_dir))))
+    return found.select("doc_id", F.col("start_off").cast("long").alias("start_off"), F.col("end_off").cast("long").alias("end_off"), F.md5("passage").alias("passage_md5"))
+
+
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("doc_id", "page_idx", "engine", F.col("char_count").cast("long").alias("char_count"), F.col("line_count").cast("long").alias("line_count"), F.round(candidates.score(), 9).alias("score"))
 
@@ -147,7 +160,7 @@ _CANDIDATES = f"""
 
 QUERIES = {f.__name__: f for f in (
     retrieval_topk, retrieval_all_scores, term_frequency, doc_norms, doc_anchors, block_tokens, block_counts_by_type, section_paths,
-    char_chunks, duplicate_line_rate, secret_scan, segment_spans, candidate_scores, page_selection,
+    char_chunks, duplicate_line_rate, secret_scan, segment_spans, segment_block_spans, candidate_scores, page_selection,
 )}
 SQL = {
     "retrieval_topk": f"WITH {_SCORES} SELECT * FROM scores ORDER BY 2 DESC, 1 LIMIT 10",
@@ -179,6 +192,10 @@ SQL = {
         WITH c AS (SELECT doc_id, text, greatest(0, least(s, length(text))) AS s, e FROM documents, (VALUES (-3, 40), (40, 20), (100, 2000)) v(s, e)),
         d AS (SELECT doc_id, text, s, greatest(s, greatest(0, least(e, length(text)))) AS e FROM c)
         SELECT doc_id, s::BIGINT AS start_off, e::BIGINT AS end_off, md5(substr(text, s + 1, e - s)) AS passage_md5 FROM d WHERE regexp_matches(substr(text, s + 1, e - s), '[^{_WS}]')""",
+    "segment_block_spans": f"""
+        WITH {_BLOCKS},
+        z AS (SELECT doc_id, text, CASE WHEN block_idx = 0 THEN 0 ELSE start_off END AS s, least(end_off, length(text)) AS e FROM blocks JOIN v USING (doc_id))
+        SELECT doc_id, s::BIGINT AS start_off, e::BIGINT AS end_off, md5(substr(text, s + 1, e - s)) AS passage_md5 FROM z WHERE regexp_matches(substr(text, s + 1, e - s), '[^{_WS}]')""",
     "candidate_scores": f"WITH {_CANDIDATES} SELECT doc_id, page_idx, engine, char_count, line_count, round(score, 9) AS score FROM scored",
     "page_selection": f"""
         WITH {_CANDIDATES},

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from foldline.jobs import catalogue
 from foldline.operators import candidates, chunking, retrieval, structure
 
 
@@ -72,3 +73,10 @@ def test_page_selection_reasons(spark):
 def test_clamped_spans(spark):
     d = spark.createDataFrame([("Short.", -1, 3), ("Short.", 0, 0), ("Short.", 2, 20), ("   ", 0, 3)], "text string, start int, end int")
     assert [tuple(r) for r in chunking.clamp_spans(d).select("passage", "start_off", "end_off").collect()] == [("Sho", 0, 3), ("ort.", 2, 6)]
+
+
+def test_block_spans_cover_the_whole_text(spark):
+    text = "\n\n".join(f"paragraph {k} " + "x" * 90 for k in range(40))
+    got = chunking.clamp_spans(catalogue.block_spans(docs(spark, text, None, ""))).orderBy("start_off").collect()
+    assert len(got) == 40 and got[0]["start_off"] == 0 and got[-1]["end_off"] == len(text) > 2000
+    assert "\n\n".join(r["passage"] for r in got) == text
