@@ -4,9 +4,11 @@ A sketch has ``bands * rows`` coordinates. In round i each shingle is hashed to
 [i, i + 1); after as many rounds as bins, further rounds give every shingle to one fixed bin, so each
 bin is filled within twice that number of rounds, and the share of equal bins keeps the concentration bounds of
 independent hashing. Equal texts and sets are one class before banding. Documents that share a band are
-compared with a hub of the band on their full shingle sets; members that do not join the hub's
-component are compared with all others of the band: pair by pair in small bands, block by block in large
-ones, where only links leave the task. So no two members of a band in different components are left uncompared.
+first compared with one hub of the band, the member that meets the most others in all its bands. What is still apart in
+a band is then searched exactly, without pairs of all members: each set is written as its difference from the
+centre of the band's largest component. Near copies of one text differ from it in few shingles, and two that are
+similar to each other but not to the centre must share some of these; a prefix filter on the
+differences finds them. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from pyspark.sql import functions as F
 from foldline.llm import _packs as P
 from foldline.llm._shared import small_batches, written
 
-#: Members of a band that are still compared pair by pair, and members of a block in larger bands.
-SMALL, BLOCK = 64, 1024
 _SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
@@ -158,25 +158,26 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, ban
     Returns doc_id, n_shingles and component_id (smallest id reachable). Texts with fewer words than ``shingle`` have
     one shingle, the whole; null texts and texts without words have none and are linked with nothing.
     A pair of that similarity shares no band with probability (1 - (percent / 100) ** rows) ** bands, below
-    0.00001 as preset; found links are confirmed on full sets. Null ids are left out.
+    0.00001 as preset; found links are confirmed on full sets. A row with a null id gets the component of the rows with
+    ids that have the same set, else null. Rows that repeat an id are one node, with the links of all its texts. An empty table
+    gives no rows. A very long text costs its shingles once for each stage; only ids, sketches and sets are shuffled, never
+    texts. Other columns are ignored.
     """
-    docs = docs.where(F.col(id_col).isNotNull())
-    sig = written(signatures(docs, shingle, bands, rows, id_col, text_col), "signatures")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sig = written(signatures(docs, shingle, bands, rows, "doc_id", "text"), "signatures")
     some = sig.where("n_shingles > 0")
-    reps = written(some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("set_a", "set_b", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "reps")
-    bands_of = reps.select("rep", F.posexplode("bands").alias("k", "h")).distinct()
-    buckets = bands_of.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "h")
-    members = written(bands_of.join(buckets, ["k", "h"]).select(F.xxhash64("k", "h").alias("band"), "rep"), "members")
+    named = some.where("doc_id IS NOT NULL")
+    reps = written(named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("set_a", "set_b", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "reps")
+    members = _members(reps)
     nodes = written(members.select(F.col("rep").alias("node"), F.col("rep").alias("label")).distinct(), "components")
-    known = written(_of(some, nodes).select("doc_id", "sketch"), "sketches")
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(_full_sets(_of(text, nodes), shingle), "sets")
-    for hubs, most in ((1, None), (SMALL, SMALL)):
-        close = written(_similar(_with_sides(_round(members, nodes, hubs, most), known, "sketch"), percent, "sketch", False), "close")
+    known = written(_of(named, nodes).select("doc_id", "sketch"), "sketches")
+    sets = written(_full_sets(_of(docs, nodes), shingle), "sets")
+    for step in (_hub_pairs(members), None):
+        pairs = written(step if step is not None else _prefix_pairs(members, nodes, sets, percent), "pairs")
+        close = written(_similar(_with_sides(pairs, known, "sketch"), percent, "sketch", False), "close")
         nodes = components(nodes, written(_similar(_with_sides(close, sets, "set"), percent, "set", True), "links"))
-    nodes = components(nodes, written(_block_links(members, nodes, sets, percent), "links"))
     classes = reps.join(nodes, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component_id"))
-    found = some.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
+    found = some.select("doc_id", "n_shingles", "set_a", "set_b").join(written(classes, "classes"), ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component_id")
     return found.unionByName(sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -191,61 +192,71 @@ def _with_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def _open_bands(members: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their labels, and each band of several labels: its size, its largest label, and the members outside that."""
-    at = members.join(nodes, F.col("rep") == F.col("node")).select("band", "rep", "label")
+def _members(reps: DataFrame) -> DataFrame:
+    """(band, rep, n, meets) of every band with two members or more: its size, and the sum of the sizes of all bands of the member."""
+    rows = reps.select("rep", F.posexplode("bands").alias("k", "h"))
+    buckets = written(rows.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    found = rows.join(buckets, ["k", "h"]).select(F.xxhash64("k", "h").alias("band"), "rep", "n").distinct()
+    return written(found.withColumn("meets", F.sum("n").over(Window.partitionBy("rep"))), "members")
+
+
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member with the hub of each of its bands, each pair once."""
+    top = F.max(F.struct("meets", F.negative("rep").alias("rep")))
+    hubs = written(members.groupBy("band").agg(top.alias("top")).select("band", F.negative("top.rep").alias("hub")), "hubs")
+    return members.join(hubs, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+
+def _around(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(c, rep, label, apart): the members of each band that still has several labels, with the centre of its most common one.
+
+    Bands of two need nothing more: their members were compared. ``apart`` is whether the member has another label than the centre.
+    """
+    at = written(members.join(nodes, F.col("rep") == F.col("node")).select("band", "rep", "label", "meets"), "labelled")
     sizes = at.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = F.max(F.struct("n", F.negative("label").alias("label")))
-    bands = sizes.groupBy("band").agg(top.alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return at, written(bands.select("band", "n", F.negative("top.label").alias("largest"), (F.col("n") - F.col("top.n")).alias("outside")), "bands")
-
-
-def _round(members: DataFrame, nodes: DataFrame, hubs: int, most: int | None) -> DataFrame:
-    """Pairs of the first ``hubs`` members outside each band's largest component with its members in other components; bands of up to ``most`` members."""
-    at, bands = _open_bands(members, nodes)
-    if most is not None:
-        bands = bands.where(F.col("n") <= most)
-    left = at.join(bands, "band").where("label <> largest").select("band", "rep", "label")
-    for key in (["band", "_part"], ["band"]):  # first within parts of a band, so that a large band is not ranked in one task
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy("rep"))
-        left = left.withColumn("_part", F.pmod(F.xxhash64("rep"), F.lit(64))).repartition(*key).withColumn("_n", rank).where(F.col("_n") <= hubs).drop("_n")
-    next_ = written(left.select("band", F.col("rep").alias("hub"), F.col("label").alias("hub_label")), "hubs")
-    other = at.join(next_, "band").where("label <> hub_label")
-    return written(other.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
-
-
-def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) in bands of over SMALL members: blocks of the members outside the largest component against blocks of all."""
-    at, bands = _open_bands(members, nodes)
-    bands = bands.where(F.col("n") > SMALL).select("band", "largest", F.ceil(F.col("outside") / BLOCK).alias("lefts"), F.ceil(F.col("n") / BLOCK).alias("rights"))
-    at = at.join(bands, "band")
-    draw = F.xxhash64("rep")
-    left = at.where("label <> largest").select("band", "rep", "label", F.pmod(draw, "lefts").alias("lb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("rb"), F.lit(0).alias("side"))
-    right = at.select("band", "rep", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("lb"), F.pmod(draw, "rights").alias("rb"), F.lit(1).alias("side"))
-    rows = left.unionByName(right).join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("band", "lb", "rb", "side", "rep", "label", "set")
-
-    def compare(t: pa.Table) -> pa.Table:
-        side = t["side"].to_numpy()
-        own = [np.flatnonzero(side == k) for k in (0, 1)]
-        got = [[np.frombuffer(t["set"][int(i)].as_py(), np.uint64) for i in x] for x in own]
-        a, b = [], []
-        if got[0] and got[1]:
-            flat = [np.concatenate(x) for x in got]
-            common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
-            both = np.zeros((len(got[0]), len(got[1])), np.float32)
-            for k in range(0, len(common), 4096):
-                part = common[k : k + 4096]
-                grids = []
-                for x in got:
-                    grid = np.zeros((len(x), len(part)), np.float32)
-                    for j, s in enumerate(x):
-                        grid[j, np.flatnonzero(np.isin(part, s, assume_unique=True))] = 1
-                    grids.append(grid)
-                both += grids[0] @ grids[1].T
-            size = [np.array([len(s) for s in x]) for x in got]
-            rep, label = t["rep"].to_numpy(), t["label"].to_numpy()
-            i, j = np.nonzero((100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)) & (label[own[0]][:, None] != label[own[1]][None, :]))
-            a, b = rep[own[0][i]], rep[own[1][j]]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("band", "lb", "rb").applyInArrow(compare, "a long, b long").distinct()
+    most = F.max(F.struct("n", F.negative("label").alias("label")))
+    open_ = sizes.groupBy("band").agg(most.alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1 AND n > 2")
+    centre = at.groupBy("label").agg(F.max(F.struct("meets", F.negative("rep").alias("rep"))).alias("top"))
+    centre = centre.select(F.col("label").alias("main"), F.negative("top.rep").alias("c"))
+    open_ = written(open_.select("band", F.negative("most.label").alias("main")).join(centre, "main"), "open")
+    return at.join(open_, "band").select("c", "rep", "label", (F.col("label") != F.col("main")).alias("apart")).distinct()
+
+
+def _differences(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(c, element, rep, label, seeks, gives, u, rest): for each member around a centre, the first elements of its difference from it.
+
+    With D the symmetric difference of a set x and the centre c, and h = (1 - t) / (1 + t): x and y are similar if
+    |Dx - Dy| + |Dy - Dx| <= h (|x| + |y|), so they share at least (u(x) + u(y)) / 2 elements of Dx and Dy, where u(x) = |Dx| - h |x|.
+    If x is not similar to c this is one at least, and more than x's own u less h |x| / t. So of the elements
+    in a fixed order only those before the last ones that could make up that many need to be looked up (``seeks``, for members
+    apart from the centre) or entered (``gives``). ``rest`` is the number of elements after this one. Elements that c lacks come first: they are rarer.
+    """
+    t = percent / 100
+    h = (1 - t) / (1 + t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, c = np.frombuffer(row["set_a"], np.uint64), np.frombuffer(row["set_b"], np.uint64)
+                d = np.concatenate([np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)])
+                n, u = len(d), len(d) - h * len(x)
+                seeks = n - max(1, int(np.ceil(u - h * len(x) / t - 1e-6))) + 1 if row["apart"] else 0
+                gives = n - max(1, int(np.floor((h * len(c) + u) / 2 - 1e-6)) + 1) + 1
+                k = min(n, max(seeks, gives, 0))
+                at = np.arange(k)
+                yield pa.RecordBatch.from_pydict({
+                    "c": pa.array(np.full(k, row["b"])), "element": pa.array(d[:k].view(np.int64)), "rep": pa.array(np.full(k, row["a"])), "label": pa.array(np.full(k, row["label"])),
+                    "seeks": pa.array(at < seeks), "gives": pa.array(at < gives), "u": pa.array(np.full(k, u)), "rest": pa.array(n - 1 - at, pa.int32()),
+                })
+
+    both = _with_sides(around.select(F.col("rep").alias("a"), F.col("c").alias("b"), "label", "apart"), sets, "set")
+    return both.mapInArrow(run, "c long, element long, rep long, label long, seeks boolean, gives boolean, u double, rest int")
+
+
+def _prefix_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one band with different labels that share enough of their differences from the centre; no similar pair is left out."""
+    found = written(_differences(written(_around(members, nodes), "around"), sets, percent), "differences")
+    side = lambda name, flag: found.where(flag).select("c", "element", *[F.col(x).alias(f"{x}_{name}") for x in ("rep", "label", "u", "rest")])
+    enough = 2 * (1 + F.least("rest_x", "rest_y")) >= F.col("u_x") + F.col("u_y") - 1e-6
+    both = side("x", "seeks").join(side("y", "gives"), ["c", "element"]).where((F.col("label_x") != F.col("label_y")) & enough)
+    return both.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
