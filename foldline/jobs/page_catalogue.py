@@ -76,12 +76,12 @@ def code_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _docs(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), html.html_to_markdown("html").alias("text"))
+    found = html.html_to_markdown(_docs(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
     return canonical.normalise_markdown(found).select(F.col("doc_id").alias("page_id"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _docs(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), html.html_to_markdown("html").alias("text"))
+    found = html.html_to_markdown(_docs(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
     blocks = structure.blocks(canonical.normalise_markdown(found))
     return blocks.groupBy(F.col("doc_id").alias("page_id"), "type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -126,7 +126,25 @@ _JUDGED = f"""l AS (SELECT *, list_filter(list_transform(string_split(p, {_NL}),
 _IS_CODE = "NOT contains(j, '```') AND CASE WHEN len(x) = 1 THEN a + b + c + d >= 3 OR (d = 1 AND a + c >= 1) ELSE a + b + c + d >= 2 END"
 _LANGUAGE = f"""CASE WHEN {_HAS("function ", "const ", "let ", "=>", "switch(")} THEN 'javascript' WHEN {_HAS("def ", "import ", "from ")} AND contains(p, ':') THEN 'python'
             WHEN contains(p, '{{') AND contains(p, '}}') AND contains(p, ':') AND contains(p, '"') THEN 'json' ELSE 'text' END"""
+_TAGS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li'"
+#: Blocks of pages whose lists have no numbers and that have neither code nor tables, as those of the given table.
+_HTML = rf"""
+    t AS (SELECT page_id, unnest(x) AS tok, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html,
+        '(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)[^>]*>|\z)|</?[a-z](?:"[^"]*"|''[^'']*''|[^''">])*>|</?[a-z][^>]*(?:>|\z)|<[!?][^>]*(?:>|\z)|[^<]+|<') AS x FROM pages)),
+    k AS (SELECT *, regexp_matches(tok, '(?i)^<(script|style)\b') AS held, tok LIKE '</%' AS ends FROM t),
+    n AS (SELECT *, CASE WHEN held THEN '' ELSE lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) END AS name FROM k),
+    x AS (SELECT *, name IN ({_TAGS}) OR (name IN ('pre', 'table') AND NOT ends) AS flush,
+        CASE WHEN held THEN regexp_replace(regexp_replace(tok, '(?is)^<[^>]*>', ''), '(?is)</(script|style)[^>]*>$', '') WHEN name = 'br' AND NOT ends THEN chr(10) WHEN name <> '' OR regexp_matches(tok, '^<[!?]') THEN NULL
+            ELSE regexp_replace(replace(replace(replace(tok, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') END AS text FROM n),
+    b AS (SELECT *, coalesce(sum(flush::INT) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM x),
+    g AS (SELECT page_id, block, {_strip(f"regexp_replace(string_agg(text, '' ORDER BY i), '[{_WS}]+', ' ', 'g')")} AS text, max(CASE WHEN flush THEN CASE WHEN ends THEN '/' ELSE '' END || name END) AS closed FROM b GROUP BY 1, 2),
+    o AS (SELECT page_id, block, CASE WHEN closed = '/li' THEN '- ' WHEN closed LIKE '/h_' THEN repeat('#', substr(closed, 3, 1)::INT) || ' ' ELSE '' END || text AS text FROM g WHERE text <> '')"""
 SQL = {
+    "html_canonical": f"WITH {_HTML} SELECT page_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM (SELECT p.page_id, coalesce(string_agg(text, {_NL} || {_NL} ORDER BY block), '') AS text FROM pages p LEFT JOIN o USING (page_id) GROUP BY 1)",
+    "html_blocks": f"""
+        WITH {_HTML}
+        SELECT page_id, CASE WHEN regexp_matches(text, '^#{{1,6}}[{_WS}]+.') THEN 'heading' WHEN text LIKE '|%' THEN 'table' WHEN regexp_matches(text, '^(- |[0-9]+\.[{_WS}])') THEN 'list' ELSE 'para' END AS type, count(*) AS n
+        FROM o GROUP BY 1, 2""",
     "content_family": f"""
         WITH k AS (SELECT doc_id, lower(trim(split_part(CASE doc_id % {len(TYPES)} {_KINDS} END, ';', 1))) AS k FROM documents),
         f AS (SELECT *, CASE WHEN k IN ('text/markdown', 'text/x-markdown') THEN 'markdown' WHEN k IN ('text/html', 'application/xhtml+xml') THEN 'html' WHEN k LIKE 'text/%' THEN 'plain' ELSE 'unsupported' END AS family FROM k)

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from foldline.operators import canonical, chunking, code, pages
-from foldline.operators.html import to_markdown
+from foldline.operators.html import html_to_markdown
 from foldline.sources.files import high_water_mark, read_files, text_pages
 from foldline.streaming.ingest import ingest, latest
 
@@ -62,10 +62,21 @@ def test_code(spark):
     assert [tuple(r) for r in got] == [(0, True, "text"), (1, False, "text"), (2, True, "text"), (3, True, "python")]
 
 
-def test_html():
-    page = "<h2> A <b>b</b></h2><div>x<p>y &amp; z</p></div><ol><li>one</li><li></li><li>two</li></ol><pre><code class='language-py'>a\r\nb</code></pre><table><tr><td>1|2</td></tr><tr><th>h</th><th>k</th></tr></table>tail"
-    assert to_markdown(page).split("\n\n") == ["## A b", "x", "y & z", "1. one", "2. two", "```py\na\nb\n```", "| h | k |", "| --- | --- |", "| 1\\|2 |  |", "tail"]
-    assert to_markdown(None) is None and to_markdown("") == ""
+def test_html(spark):
+    cases = {
+        "<h2> A <b>b</b></h2><div>x<p>y &amp; z</p></div><ol><li>one</li><li></li><li>two</li></ol><pre><code class='language-Py x'>a\r\n&lt;b</code></pre>"
+        "<table><tr><td>1|2</td></tr><tr><th>h</th><th>k</th></tr></table>tail": ["## A b", "x", "y & z", "1. one", "2. two", "```py\na\n<b\n```", "| h | k |", "| --- | --- |", "| 1\\|2 |  |", "tail"],
+        "<body><div>first</div><span>second</span></body>": ["firstsecond"],
+        "<table><tr><td>a</td></tr><tr><th>h</th></tr><tr><td></td></tr></table>": ["| h |", "| --- |", "| a |", "|  |"],
+        "</ul><li>lone</li><ul><li>a<ol><li>x</li><li>y</li></ol></li><li>b</li></ul>": ["- lone", "a", "1. x", "2. y", "- b"],
+        "<!-- c --><script>var t = \"</p>&amp;\";</script>a<br>b &lt; c<p title='x>y'>d</h3><p": ["var t = \"</p>&amp;\";a b < c", "# d"],
+        "": [], " \n": [], "<pre>never ended": [],
+    }
+    pages_ = spark.createDataFrame([*enumerate(cases), (99, None)], "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in html_to_markdown(pages_).collect()}
+    assert got.pop(99) is None
+    assert {k: t for k, t in got.items()} == {k: "\n\n".join(v) for k, v in enumerate(cases.values())}
+    assert html_to_markdown(pages_.where("page_id < 0")).count() == 0
 
 
 def test_chunk_ids_and_pages(spark):
