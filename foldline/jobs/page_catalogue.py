@@ -143,7 +143,7 @@ SQL = {
     "html_canonical": f"WITH {_HTML} SELECT page_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM (SELECT p.page_id, coalesce(string_agg(text, {_NL} || {_NL} ORDER BY block), '') AS text FROM pages p LEFT JOIN o USING (page_id) GROUP BY 1)",
     "html_blocks": f"""
         WITH {_HTML}
-        SELECT page_id, CASE WHEN regexp_matches(text, '^#{{1,6}}[{_WS}]+.') THEN 'heading' WHEN text LIKE '|%' THEN 'table' WHEN regexp_matches(text, '^(- |[0-9]+\.[{_WS}])') THEN 'list' ELSE 'para' END AS type, count(*) AS n
+        SELECT page_id, CASE WHEN regexp_matches(text, '^#{{1,6}}[{_WS}]+.') THEN 'heading' WHEN text LIKE '|%' THEN 'table' WHEN regexp_matches(text, '^(- |[0-9]+[.][{_WS}])') THEN 'list' ELSE 'para' END AS type, count(*) AS n
         FROM o GROUP BY 1, 2""",
     "content_family": f"""
         WITH k AS (SELECT doc_id, lower(trim(split_part(CASE doc_id % {len(TYPES)} {_KINDS} END, ';', 1))) AS k FROM documents),

@@ -71,3 +71,23 @@ def selection_log(candidates: DataFrame, selected: DataFrame) -> DataFrame:
 def engine_counts(selected: DataFrame) -> DataFrame:
     """(doc_id, selected_engine, n_pages) of pages with a selection."""
     return selected.where("selected_engine IS NOT NULL").groupBy("doc_id", "selected_engine").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+def block_signals(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Signals of each page from its blocks (doc_id, page_idx, engine, type, text, has_coords, asset); ``keys`` default to doc_id, page_idx, engine.
+
+    Rows with a null type are assets only. has_coords is whether more than half of the blocks have coordinates; line
+    signals cover the stripped lines of all blocks that are not empty, each block's lines as a small array.
+    """
+    keys = keys or ("doc_id", "page_idx", "engine")
+    text = F.when(F.col("type").isNotNull(), F.col("text"))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != "")
+    rows = blocks.select(*keys, "type", "asset", F.length(F.regexp_replace(text, f"[{WS}]+", "")).alias("chars"), lines.alias("lines"), "has_coords", text.startswith("#").alias("hash"))
+    is_block, all_lines = F.col("type").isNotNull(), F.flatten(F.collect_list("lines"))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    found = rows.groupBy(*keys).agg(
+        F.coalesce(F.sum("chars"), F.lit(0)).alias("char_count"), count(is_block).alias("block_count"), all_lines.alias("lines"), count(is_block & ((F.col("type") == "heading") | F.col("hash"))).alias("heading_like_count"),
+        count(is_block & F.col("has_coords")).alias("_boxes"), F.count("asset").alias("asset_count"),
+    )
+    n = F.size("lines")
+    return found.select(*keys, "char_count", "block_count", n.alias("line_count"), F.when(n == 0, 0.0).otherwise((n - F.size(F.array_distinct("lines"))) / n).alias("duplicate_line_ratio"), "heading_like_count", (2 * F.col("_boxes") > F.col("block_count")).alias("has_coords"), "asset_count")

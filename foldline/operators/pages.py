@@ -105,3 +105,32 @@ def canonical_ranges(blocks: DataFrame) -> DataFrame:
     rows = blocks.withColumn("_gap", gap)
     start = F.coalesce(F.sum(F.length("text") + F.col("_gap")).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("start_off", start).withColumn("end_off", F.col("start_off") + F.length("text")).drop("_gap")
+
+
+def last_pages(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_idx, engine, position, ...): of those that an extractor returned twice, the one it returned last."""
+    newest = Window.partitionBy("doc_id", "page_idx", "engine").orderBy(F.desc("position"))
+    return pages.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def route_with_quick_pass(pages: DataFrame, default_order: list[str], scan_order: list[str] | None = None, *, quick: str = "pypdf", scan_chars: int = 80, min_tokens: int = 25, errors: DataFrame | None = None) -> DataFrame:
+    """``route_pages`` by an order that depends on each page: ``scan_order`` where the ``quick`` extractor found under ``scan_chars`` characters.
+
+    Returns doc_id, page_idx, extractor, text, fallback_reason, quick_chars, scan_likely, char_counts (map by extractor that
+    returned the page), fallback_chain and extractor_errors (map of those in the chain). A page the quick pass lacks is likely a scan.
+    """
+    scan_order = scan_order or default_order
+    length = F.length(strip(F.coalesce("text", F.lit(""))))
+    by_page = pages.groupBy("doc_id", "page_idx").agg(F.coalesce(F.max(F.when(F.col("engine") == quick, length)), F.lit(0)).alias("quick_chars"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", length)))).alias("char_counts"))
+    rows = page_spine(pages).join(by_page, ["doc_id", "page_idx"], "left").withColumn("quick_chars", F.coalesce("quick_chars", F.lit(0)))
+    rows = rows.withColumn("scan_likely", F.col("quick_chars") < max(1, scan_chars))
+    chain = lambda names: F.array(*map(F.lit, names))
+    both = [route_pages(pages, order, min_tokens, errors).withColumn("scan_likely", F.lit(scan)) for scan, order in ((True, scan_order), (False, default_order))]
+    out = rows.join(both[0].unionByName(both[1]), ["doc_id", "page_idx", "scan_likely"])
+    out = out.withColumn("fallback_chain", F.when(F.col("scan_likely"), chain(scan_order)).otherwise(chain(default_order)))
+    none = F.create_map().cast("map<string,string>")
+    if errors is None:
+        return out.withColumn("extractor_errors", none).withColumn("char_counts", F.coalesce("char_counts", F.create_map().cast("map<string,int>")))
+    failed = errors.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", "error")))).alias("_errors"))
+    out = out.join(failed, "doc_id", "left").withColumn("extractor_errors", F.coalesce(F.map_filter("_errors", lambda k, _: F.array_contains("fallback_chain", k)), none)).drop("_errors")
+    return out.withColumn("char_counts", F.coalesce("char_counts", F.create_map().cast("map<string,int>")))

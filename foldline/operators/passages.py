@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +68,66 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     hits = relevant.join(ranked.where(F.col("rank") <= k), ["query_id", "doc_id"], "left")
     found = hits.groupBy("query_id").agg((F.count("rank") / F.count(F.lit(1))).alias("recall"), F.min("rank").alias("_first"))
     return found.select("query_id", "recall", F.coalesce(1 / F.col("_first"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
+def drop_overlapping(passages: DataFrame, width: int = 4096) -> DataFrame:
+    """Passages (doc_id, id, start, end, score) of which none shares characters with a better one of the document; ties go to the smaller id.
+
+    A passage goes even where the better one goes too. Overlaps are found by ``overlaps``, in bins of ``width`` characters.
+    """
+    spans = passages.select("doc_id", "id", "start", "end")
+    scores = passages.select("doc_id", F.col("id").alias("_id"), F.col("score").alias("_score"))
+    pairs = overlaps(spans, spans, ["doc_id"], width).where("a <> b")
+    pairs = pairs.join(scores.toDF("doc_id", "a", "_a"), ["doc_id", "a"]).join(scores.toDF("doc_id", "b", "_b"), ["doc_id", "b"])
+    worse = pairs.where((F.col("_a") < F.col("_b")) | ((F.col("_a") == F.col("_b")) & (F.col("a") > F.col("b")))).select("doc_id", F.col("a").alias("id")).distinct()
+    return passages.join(worse, ["doc_id", "id"], "left_anti")
+
+
+def ranking_gain(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """(query_id, ndcg): discounted gain at ``k`` of ranked (query_id, doc_id, rank), each relevant (query_id, doc_id) worth one, as a share of the best that is possible."""
+    gain = lambda rank: 1 / F.log2(rank + 1)
+    hits = relevant.join(ranked.where(F.col("rank") <= k), ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.coalesce(F.sum(gain(F.col("rank"))), F.lit(0.0)).alias("_gain"), F.count(F.lit(1)).alias("_n"))
+    best = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + gain(i))
+    return hits.select("query_id", (F.col("_gain") / best).alias("ndcg"))
+
+
+def evidence_coverage(gold: DataFrame, retrieved: DataFrame, keys: list[str], width: int = 4096) -> DataFrame:
+    """(keys, coverage): the share of the gold spans (keys, id, start, end) that share characters with a retrieved one."""
+    hit = overlaps(gold, retrieved, keys, width).select(*keys, F.col("a").alias("id")).distinct().withColumn("_hit", F.lit(1))
+    return gold.join(hit, [*keys, "id"], "left").groupBy(*keys).agg((F.count("_hit") / F.count(F.lit(1))).alias("coverage"))
+
+
+def churn_rates(changes: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, added, removed, changed, unchanged): shares of the changes of ``snapshot_changes``."""
+    share = lambda x: F.avg((F.col("change") == x).cast("int")).alias(x)
+    return changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *map(share, ("added", "removed", "changed", "unchanged")))
+
+
+def segment_lineage(old: DataFrame, new: DataFrame, keys: list[str], width: int = 4096) -> DataFrame:
+    """(keys, id, successor, n_shared): for each old segment (keys, id, start, end) the new one that shares most characters, ties to the smaller id; null where none does."""
+    best = F.max(F.struct("n_shared", F.negative("b").alias("b")))
+    found = overlaps(old, new, keys, width).groupBy(*keys, F.col("a").alias("id")).agg(best.alias("_best"))
+    return old.select(*keys, "id").join(found, [*keys, "id"], "left").select(*keys, "id", F.negative("_best.b").alias("successor"), F.col("_best.n_shared").alias("n_shared"))
+
+
+def pack_passages(blocks: DataFrame, least: int = 300, target: int = 600, most: int = 900) -> DataFrame:
+    """(doc_id, section, block_no, passage): blocks (doc_id, section, block_no, n_tokens) packed in order into passages of a section.
+
+    A passage ends once it has ``target`` tokens or the next block would take it over ``most``; a last one of under ``least``
+    joins the one before where both fit ``most``. A fold over the blocks of one section, which lie in one document.
+    """
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block_no")
+        sums, at = [], []
+        for n in pdf["n_tokens"].tolist():
+            if not sums or sums[-1] >= target or sums[-1] + n > most:
+                sums.append(0)
+            sums[-1] += n
+            at.append(len(sums) - 1)
+        if len(sums) > 1 and sums[-1] < least and sums[-1] + sums[-2] <= most:
+            at = [min(k, len(sums) - 2) for k in at]
+        return pdf[["doc_id", "section", "block_no"]].assign(passage=at)
+
+    rows = blocks.select("doc_id", "section", F.col("block_no").cast("long").alias("block_no"), F.col("n_tokens").cast("long").alias("n_tokens"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.groupBy("doc_id", "section").applyInPandas(pack, f"doc_id {kinds['doc_id']}, section {kinds['section']}, block_no long, passage long")
