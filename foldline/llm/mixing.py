@@ -8,6 +8,7 @@ documents of a length are taken is settled by a seeded hash.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,6 @@ from foldline.llm._shared import word_array
 
 #: Parts into which the documents of one source and length are dealt, so that no one task ranks a hot length.
 PARTS = 256
-#: Words that the dynamic program covers; larger remainders are first lowered length by length.
-CAPACITY = 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -44,40 +43,41 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 
 def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take so that their sum comes as near below ``budget`` as found.
+    """How many documents of each length to take so that their sum comes as near below ``budget`` as can be.
 
-    A proportional share of every length first, then single lengths from the longest down until
-    at most CAPACITY words are left, then the best reachable sum of the remaining documents.
+    All but the words of some four of the longest documents are shared out by length in proportion, the longest
+    first, each length also taking what the ones before left over. The rest, under five of the longest documents at any
+    size of the corpus, is a bounded knapsack over the documents that remain; a smaller budget is one as a whole.
     """
     total = sum(n * k for n, k in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
-    taken = [k * budget // total for k in counts]
-    left = budget - sum(n * k for n, k in zip(lengths, taken, strict=True))
     order = sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i])
+    share = max(0, budget - 4 * lengths[order[0]])
+    taken = [0 if lengths[i] else counts[i] * budget // total for i in range(len(lengths))]
+    passed = placed = 0
     for i in order:
-        if left <= CAPACITY:
-            break
-        more = min(counts[i] - taken[i], (left - CAPACITY) // lengths[i])
-        taken[i] += more
-        left -= more * lengths[i]
-    left_cap = min(left, CAPACITY)
-    reach, steps, mask = 1, [], (1 << (left_cap + 1)) - 1
+        passed += counts[i] * lengths[i]
+        taken[i] = min(counts[i], (share * passed // total - placed) // lengths[i])
+        placed += taken[i] * lengths[i]
+    left, items = budget - placed, []
+    reach, by = np.zeros(left + 1, bool), np.zeros(left + 1, np.int32)
+    reach[0] = True
     for i in order:
-        if reach >> left_cap & 1:
-            break
-        free, part = min(counts[i] - taken[i], left_cap // lengths[i]), 1
-        while free > 0:
+        free, part = min(counts[i] - taken[i], left // lengths[i]), 1
+        while free > 0 and not reach[left]:
             part = min(part, free)
-            steps.append((reach, i, part))
-            reach |= reach << part * lengths[i] & mask
+            size = part * lengths[i]
+            new = np.flatnonzero(reach[: left + 1 - size] & ~reach[size:]) + size
+            reach[new], by[new] = True, len(items)  # a sum keeps the item that reached it first
+            items.append((i, part, size))
             free -= part
             part *= 2
-    best = reach.bit_length() - 1
-    for before, i, part in reversed(steps):
-        if not before >> best & 1:
-            taken[i] += part
-            best -= part * lengths[i]
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        i, part, size = items[by[at]]
+        taken[i] += part
+        at -= size
     return taken
 
 
@@ -94,10 +94,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
 
     Returns the id, size (words of the whole text, null 0), source, source_size, target, times, and
     the columns named in ``keep``. Each source's words taken come near its target. Ties of the seeded
-    hash are settled by id; rows that repeat an id are ranked one after the other. ``most`` bounds
-    how often a document is taken. An empty table gives no rows.
+    hash are settled by id; rows that repeat an id are ranked one after the other; null ids, sources and texts
+    are values like others. ``most`` bounds how often a document is taken. An empty table gives no rows. Of a very long text
+    only the number of its words counts. A column in ``keep`` that has the name of a result column is left out. The
+    table of sources is sorted in one task: tens of thousands of them are fine, hosts of a crawl are not.
     """
-    extra = [c for c in keep if c not in (id_col, source_col)]
+    extra = [c for c in keep if c not in (id_col, source_col, "doc_id", "size", "source", "source_size", "target", "times")]
     key = (F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"))
     row = F.struct(*extra) if extra else F.lit(None)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(word_array(F.col(text_col))).cast("long").alias("size"), row.alias("_row"))
