@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset (local tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc._jsc.sc().getCheckpointDir().get()
