@@ -140,12 +140,11 @@ def fitted(stats: DataFrame, stats_col: str = "stats") -> dict[int, float]:
     return fit({r["pattern"]: r["count"] for r in rows})
 
 
-def posterior(code: Column, post: dict[int, float]) -> Column:
-    """Column: the posterior of each pattern; 0.5 for one that was not seen."""
-    if not post:
-        return F.lit(0.5)
-    table = F.create_map(*[F.lit(x) for c, p in sorted(post.items()) for x in (c, p)])
-    return F.coalesce(F.try_element_at(table, code), F.lit(0.5))
+def with_posterior(stats: DataFrame, post: dict[int, float], *, stats_col: str = "stats", out_col: str = "posterior") -> DataFrame:
+    """``stats`` with the posterior of each row's pattern; 0.5 for a pattern that was not seen. The table that is broadcast has at most 3 ** len(RULES) rows."""
+    table = stats.sparkSession.createDataFrame(sorted(post.items()), "_pattern int, _good double")
+    rows = stats.withColumn("_pattern", pattern(F.col(stats_col))).join(F.broadcast(table), "_pattern", "left")
+    return rows.withColumn(out_col, F.coalesce("_good", F.lit(0.5))).drop("_pattern", "_good")
 
 
 def quality_rules(docs: DataFrame, post: dict[int, float], *, text_col: str = "text", out_col: str = "quality") -> DataFrame:
@@ -153,10 +152,11 @@ def quality_rules(docs: DataFrame, post: dict[int, float], *, text_col: str = "t
 
     A document is kept unless it has under 50 words or over half of its words in repeated three-word
     windows, and its posterior is at least one half. Null and empty texts are not kept. All columns
-    and rows stay, repeated ones included; an existing ``out_col`` is replaced.
+    and rows stay, repeated ones included; an existing ``out_col`` is replaced. An empty table gives no rows. A very long text
+    costs n log n of its words, in one row.
     """
-    with_stats = docs.withColumn(out_col, text_stats(F.col(text_col)))
-    s = F.col(out_col)
-    return with_stats.withColumn(out_col, s.withField("base_failed", base_failed(s)).withField("pattern", pattern(s))).withColumn(
-        out_col, s.withField("posterior", posterior(s["pattern"], post))
-    ).withColumn(out_col, s.withField("kept", ~s["base_failed"] & (s["posterior"] >= 0.5)))
+    names = [c for c in docs.columns if c != out_col]
+    rows = docs.select(F.struct(*names).alias("_row"), text_stats(F.col(text_col)).alias("_stats"))
+    judged, s = with_posterior(rows, post, stats_col="_stats", out_col="_posterior"), F.col("_stats")
+    full = s.withField("base_failed", base_failed(s)).withField("posterior", F.col("_posterior")).withField("kept", ~base_failed(s) & (F.col("_posterior") >= 0.5))
+    return judged.select(*[F.col("_row")[c].alias(c) for c in names], full.alias(out_col))

@@ -12,9 +12,9 @@ from foldline.llm.line_dedup import line_dedup
 from foldline.llm.lm_scoring import lm_scores
 from foldline.llm.minhash import near_duplicates
 from foldline.llm.mixing import mix
-from foldline.llm.pii import KINDS, find_private
+from foldline.llm.pii import KINDS, MORE_KINDS, find_private
 from foldline.llm.quality_classifier import classify
-from foldline.llm.quality_rules import base_failed, fitted, pattern, posterior, text_stats
+from foldline.llm.quality_rules import base_failed, fitted, text_stats, with_posterior
 from foldline.llm.substring_dedup import substring_dedup
 
 
@@ -29,7 +29,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"), run_lines=2)
+    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"), run_lines=2, run_words=50)
     return out.select(
         "doc_id", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
@@ -47,9 +47,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(documents(spark, sf_dir).select("doc_id", text_stats(F.col("text")).alias("stats")), "stats")
-    s, post = F.col("stats"), fitted(stats)
-    good = posterior(pattern(s), post)
-    return stats.select(
+    s, good = F.col("stats"), F.col("posterior")
+    return with_posterior(stats, fitted(stats)).select(
         "doc_id", *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed(s).alias("base_failed"), (~base_failed(s) & (good >= 0.5)).alias("kept"), F.round(good, 6).alias("posterior"),
     )
@@ -84,11 +83,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_private(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.transform(F.filter("spans", lambda s: s["kind"].isin(*KINDS)), text)
     terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
     return out.select(
         "doc_id", *map(count, KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("terms").cast("long").alias("n_terms"),
+        F.array_join(F.concat(F.transform("spans", text), terms), ",").alias("spans"), *map(count, MORE_KINDS), F.size("terms").cast("long").alias("n_terms"),
+        F.size("spans").cast("long").alias("n_private"), (F.size("spans") > 0).alias("flagged"),
     )
 
 
@@ -102,7 +103,9 @@ SQL: dict[str, str] = {
         w AS (SELECT a.doc_id, a.p, a.no AS no1, b.no AS no2, a.line || chr(10) || b.line AS run FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.p = a.p + 1),
         f AS (SELECT run, min(doc_id) AS doc_id FROM w GROUP BY 1), g AS (SELECT w.run, w.doc_id, min(p) AS p FROM w JOIN f USING (run, doc_id) GROUP BY 1, 2),
         d AS (SELECT w.doc_id, unnest([no1, no2]) AS no FROM w JOIN g USING (run) WHERE w.doc_id > g.doc_id OR (w.doc_id = g.doc_id AND w.p >= g.p + 2)),
-        x AS (SELECT DISTINCT doc_id, no FROM d),
+        s AS (SELECT doc_id, no, line FROM k WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50), s1 AS (SELECT line, min(doc_id) AS doc_id FROM s GROUP BY 1),
+        s2 AS (SELECT line, doc_id, min(no) AS no FROM s JOIN s1 USING (line, doc_id) GROUP BY 1, 2),
+        x AS (SELECT doc_id, no FROM d UNION SELECT s.doc_id, s.no FROM s JOIN s2 USING (line) WHERE s.doc_id > s2.doc_id OR s.no > s2.no),
         t AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) FILTER (x.no IS NULL) AS kept,
                 coalesce(string_agg(x.no::VARCHAR, ',' ORDER BY x.no), '') AS removed, count(x.no) AS n FROM l LEFT JOIN x USING (doc_id, no) GROUP BY 1)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256
