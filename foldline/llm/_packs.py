@@ -11,7 +11,6 @@ a scan of files or a written table: then a lost task rebuilds the same packs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from foldline.llm._shared import shuffle_partitions, small_batches
 
 PACK_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -155,23 +155,20 @@ def packed(docs: DataFrame, columns: list[str], by: str = "text", size: int = PA
     return packs.repartition(shuffle_partitions(spark), "pack") if shuffled else packs
 
 
-@lru_cache(maxsize=4)
-def _starts(buckets: int) -> np.ndarray:
-    return np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-
-
-def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins among sorted 64-bit keys; buckets are equal ranges of keys."""
-    return np.concatenate([[0], np.searchsorted(keys, _starts(buckets)), [len(keys)]]).astype(np.int64)
+def key_buckets(docs: DataFrame, least: int) -> int:
+    """Equal ranges of keys to deal questions by: as many as keep a range's share of the input, by its size on disk, near 16 MB, ``least`` at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 24, max(least, size // BUCKET_BYTES))
 
 
 def questions(pack: int, keys: np.ndarray, buckets: int, parts: dict[str, Callable[[slice], bytes]]) -> pa.RecordBatch:
-    """One row for each bucket with keys; ``parts`` gives its binary columns."""
-    edges = bucket_edges(keys, buckets)
-    full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
-    data = {"pack": pa.array([pack] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32())}
+    """One row for each bucket with keys, which are sorted; ``parts`` gives its binary columns. Buckets are equal ranges of the 64-bit keys."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(of.astype(np.int64), prepend=-1))
+    ends = [*first[1:].tolist(), len(keys)][: len(first)]
+    data = {"pack": pa.array([pack] * len(first), pa.int64()), "bucket": pa.array(of[first].astype(np.int32), pa.int32())}
     for name, f in parts.items():
-        data[name] = pa.array([f(slice(edges[b], edges[b + 1])) for b in full], pa.binary())
+        data[name] = pa.array([f(slice(a, b)) for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())
     return pa.RecordBatch.from_pydict(data)
 
 

@@ -59,14 +59,14 @@ def _split(text: str, special: dict[str, int]) -> list[str]:
     return out
 
 
-def _distinct(texts: list[str], special: dict[str, int], buckets: int) -> tuple[list[list[str]], list[list[str]]]:
-    """Pre-tokens of each text, and the distinct ones of all, sorted, by bucket of their hash."""
+def _distinct(texts: list[str], special: dict[str, int], buckets: int) -> tuple[list[list[str]], list[tuple[int, list[str]]]]:
+    """Pre-tokens of each text, and the distinct ones of all, sorted, by bucket of their hash, in order of the buckets."""
     split = [_split(t, special) for t in texts]
     words = sorted(set().union(*split)) if split else []
-    by = [[] for _ in range(buckets)]
+    by: dict[int, list[str]] = {}
     for w, b in zip(words, _bucket(words, buckets), strict=True):
-        by[b].append(w)
-    return split, by
+        by.setdefault(b, []).append(w)
+    return split, sorted(by.items())
 
 
 def _bucket(words: list[str], buckets: int) -> list[int]:
@@ -90,15 +90,16 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     Returns doc_id and ids (array<int>), one row for each input row, repeated ids included. Null
     and empty texts have no ids. A special token's string in a text becomes its id. Other columns
     are ignored. ``docs`` must be a scan of files or a written table; ``tokenizer_path`` must be
-    readable where tasks run. For byte-level BPE vocabularies.
+    readable where tasks run. For byte-level BPE vocabularies. An empty table gives no rows; a very long text is one pack.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = P.key_buckets(docs, shuffle_partitions(docs.sparkSession))
     packs = P.packed(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), ["doc_id", "text"])
 
     def ask(pack: int, t: pa.Table):
         by = _distinct(_texts(t), _tokenizer(tokenizer_path)[1], buckets)[1]
-        full, press = [b for b in range(buckets) if by[b]], zstandard.ZstdCompressor(level=6)
-        yield pa.RecordBatch.from_pydict({"pack": pa.array([pack] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "words": pa.array([press.compress("\x00".join(w.replace("\x00", "\x00\x01") for w in by[b]).encode()) for b in full], pa.binary())})
+        press = zstandard.ZstdCompressor(level=6)
+        asked = [press.compress("\x00".join(w.replace("\x00", "\x00\x01") for w in own).encode()) for _, own in by]
+        yield pa.RecordBatch.from_pydict({"pack": pa.array([pack] * len(by), pa.int64()), "bucket": pa.array([b for b, _ in by], pa.int32()), "words": pa.array(asked, pa.binary())})
 
     def encode(rows: list[dict]) -> list[bytes]:
         tokenizer, special = _tokenizer(tokenizer_path)
@@ -132,7 +133,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
             flats.append(np.frombuffer(rest, np.uint32 if len(rest) == 4 * total else np.uint16).astype(np.uint32))
         count, flat = np.concatenate(counts), np.concatenate(flats)
         first = np.concatenate([[0], np.cumsum(count)])
-        words = [w for b in by for w in b]
+        words = [w for _, own in by for w in own]
         if len(words) != len(count):
             raise RuntimeError("a pack changed between its question and its answer; the input must be a scan of files")
         at = {w: k for k, w in enumerate(words)}.__getitem__
@@ -162,7 +163,8 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col``: the text of ``ids_col``, special tokens included; bytes that are no UTF-8 become U+FFFD.
 
-    Ids are joined with the pieces of the vocabulary, whose number is fixed. Null ids give an empty text.
+    Ids are joined with the pieces of the vocabulary, whose number is fixed, by a lookup in each task. Null ids give an empty text;
+    rows that repeat an id are decoded each, an empty table gives no rows, and a very long list of ids is one row in memory.
     """
     small_batches(encoded.sparkSession)
     schema = encoded.drop(out_col).schema.add(out_col, "string")

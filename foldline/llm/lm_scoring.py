@@ -27,7 +27,7 @@ _END = np.uint64(0x2545F4914F6CDD1D)
 _BASE = 1.5
 _HASHES = 6
 #: Blocks of the filter (a power of two): the same whatever the cluster.
-_BLOCKS = 4096
+_BLOCKS = 1 << 20
 #: Bits of a block for each of its entries; a missing level is then found present with probability below 0.00003.
 _ENTRY_BITS = 32
 #: Bits of the blocks that are built at once, one byte each.
@@ -115,7 +115,7 @@ def level_counts(level: np.ndarray) -> np.ndarray:
 
 def _key_buckets(docs: DataFrame) -> int:
     """Equal key ranges to deal questions by: a power of two, so that each block of the filter lies in one."""
-    return min(_BLOCKS, 1 << (max(64, 2 * shuffle_partitions(docs.sparkSession)) - 1).bit_length())
+    return min(_BLOCKS, 1 << (P.key_buckets(docs, max(64, 2 * shuffle_partitions(docs.sparkSession))) - 1).bit_length())
 
 
 def train_totals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, int]:

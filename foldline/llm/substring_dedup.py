@@ -57,12 +57,13 @@ def substring_dedup(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id"
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space) and removed
     (array of [first, last] word indexes of the maximal removed runs). Null and empty texts give an
     empty kept_text and no words. Texts shorter than a window keep everything. Rows that repeat an
-    id do not remove words from each other (no id is smaller). A null id counts as the largest.
+    id do not remove words from each other (no id is smaller). A null id counts as the largest. An empty table gives no rows.
+    A very long text is one pack, worked on in arrays of its words. Windows are compared by 64-bit hash.
     Other columns are ignored. ``docs`` must be a scan of files or a written table.
     """
     block = (window + 1) // 2
     spark = docs.sparkSession
-    buckets = 2 * shuffle_partitions(spark)
+    buckets = P.key_buckets(docs, 2 * shuffle_partitions(spark))
     packs = P.packed(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), ["doc_id", "text"])
 
     def ask_blocks(pack: int, t: pa.Table):
