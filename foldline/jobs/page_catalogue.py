@@ -126,6 +126,13 @@ _JUDGED = f"""l AS (SELECT *, list_filter(list_transform(string_split(p, {_NL}),
 _IS_CODE = "NOT contains(j, '```') AND CASE WHEN len(x) = 1 THEN a + b + c + d >= 3 OR (d = 1 AND a + c >= 1) ELSE a + b + c + d >= 2 END"
 _LANGUAGE = f"""CASE WHEN {_HAS("function ", "const ", "let ", "=>", "switch(")} THEN 'javascript' WHEN {_HAS("def ", "import ", "from ")} AND contains(p, ':') THEN 'python'
             WHEN contains(p, '{{') AND contains(p, '}}') AND contains(p, ':') AND contains(p, '"') THEN 'json' ELSE 'text' END"""
+
+
+def _unescaped(c: str) -> str:
+    """The entities that the given pages have."""
+    return f"regexp_replace(replace(replace(replace({c}, '&quot;', '\"'), '&copy;', '\N{COPYRIGHT SIGN}'), '&middot;', '\N{MIDDLE DOT}'), '&amp;?', '&', 'g')"
+
+
 _TAGS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li'"
 #: Blocks of pages whose lists have no numbers and that have neither code nor tables, as those of the given table.
 _HTML = rf"""
@@ -209,7 +216,8 @@ SQL = {
             {_LANGUAGE} AS language FROM d""",
     "html_strip_tags": f"""
         WITH a AS (SELECT page_id, regexp_replace(html, '(?i)<br[\\x09-\\x0D ]*/?>|</p[\\x09-\\x0D ]*>|</tr[\\x09-\\x0D ]*>', {_NL}, 'g') AS t FROM pages),
-        b AS (SELECT page_id, replace(replace(regexp_replace(t, '<[^>]+>', '', 'g'), {_CR} || {_NL}, {_NL}), {_CR}, {_NL}) AS t FROM a)
+        e AS (SELECT page_id, {_unescaped("regexp_replace(t, '<[^>]+>', '', 'g')")} AS t FROM a),
+        b AS (SELECT page_id, replace(replace(t, {_CR} || {_NL}, {_NL}), {_CR}, {_NL}) AS t FROM e)
         SELECT page_id, md5({_strip(f"regexp_replace(regexp_replace(t, '[ \\t]+\\n', {_NL}, 'g'), '\\n{{3,}}', {_NL} || {_NL}, 'g')")}) AS text_md5 FROM b""",
     "doc_slug_id": """
         SELECT doc_id, lower(trim(regexp_replace(coalesce(source, 'none') || ' / ' || doc_id, '[^a-zA-Z0-9]+', '-', 'g'), '-')) || '-' || substr(sha256(coalesce(text, '')), 1, 10) AS slug_id FROM documents""",

@@ -33,6 +33,19 @@ def block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anchored(spark, sf_dir).where("type <> 'heading'").select("doc_id", *_long("block_idx", "ordinal"), "type", "pass_anchor")
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of the marked-up documents with their whole headings."""
+    return structure.anchored(structure.blocks(marked_up(_docs(spark, sf_dir))))
+
+
+def heading_anchors_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir).where("type = 'heading'").select("doc_id", *_long("block_idx", "level"), F.md5("text").alias("text_md5"), F.md5("section_path").alias("path_md5"), "sec_anchor")
+
+
+def block_anchors_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir).where("type <> 'heading'").select("doc_id", *_long("block_idx", "ordinal"), "type", "pass_anchor")
+
+
 def coded(docs: DataFrame) -> DataFrame:
     """The documents' lines with code, empty lines and fences by line number."""
     def line(x, i):
@@ -104,7 +117,7 @@ def adapt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dup_heading_suffix, section_anchors, block_anchors, fence_code, selection_log, engine_counts, neighbors, context_budget, span_overlaps,
-    chunk_length_percentiles, snapshot_changes, adapt_blocks,
+    chunk_length_percentiles, snapshot_changes, adapt_blocks, heading_anchors_whole, block_anchors_whole,
 )}
 _ANCHORS = f"""WITH RECURSIVE {_BLOCKS},
     h0 AS (SELECT doc_id, block_idx, length(regexp_extract(first, '^#+')) AS level, substr({_strip("regexp_replace(first, '^#+[[:space:]]+', '')")}, 1, 1) AS raw FROM blocks WHERE type = 'heading'),
@@ -116,11 +129,14 @@ _ANCHORS = f"""WITH RECURSIVE {_BLOCKS},
     kk AS (SELECT b.doc_id, b.block_idx, b.type, max(CASE WHEN b.type = 'heading' THEN b.block_idx END) OVER (PARTITION BY b.doc_id ORDER BY b.block_idx ROWS UNBOUNDED PRECEDING) AS at FROM blocks b),
     s AS (SELECT kk.*, coalesce(r.path, 'root') AS path, substr(sha256(kk.doc_id || coalesce(r.path, 'root')), 1, 32) AS sec_anchor,
         row_number() OVER (PARTITION BY kk.doc_id, kk.at, kk.type = 'heading' ORDER BY kk.block_idx) - 1 AS ordinal FROM kk LEFT JOIN r ON kk.doc_id = r.doc_id AND kk.at = r.block_idx)"""
+_ANCHORS_WHOLE = _ANCHORS.replace(", 1, 1) AS raw FROM blocks", ", 1) AS raw FROM blocks")
 _PASSAGES = f"{_RAW}, x AS (SELECT doc_id, no // 10 AS section, no AS passage, doc_id || '-' || no AS passage_id, len(string_split(line, ' ')) AS n_tokens, (length(line) - length(replace(line, 'e', '')))::DOUBLE / length(line) AS score FROM raw WHERE line <> '')"
 SQL = {
     "dup_heading_suffix": f"{_ANCHORS} SELECT doc_id, block_idx, level, text, md5(path) AS path_md5 FROM r",
     "section_anchors": f"{_ANCHORS} SELECT doc_id, sec_anchor, min(block_idx) AS first_idx FROM s GROUP BY 1, 2",
     "block_anchors": f"{_ANCHORS} SELECT doc_id, block_idx, ordinal, type, substr(sha256(sec_anchor || type || ordinal), 1, 32) AS pass_anchor FROM s WHERE type <> 'heading'",
+    "heading_anchors_whole": f"{_ANCHORS_WHOLE} SELECT r.doc_id, r.block_idx, r.level, md5(r.text) AS text_md5, md5(r.path) AS path_md5, s.sec_anchor FROM r JOIN s ON r.doc_id = s.doc_id AND r.block_idx = s.block_idx",
+    "block_anchors_whole": f"{_ANCHORS_WHOLE} SELECT doc_id, block_idx, ordinal, type, substr(sha256(sec_anchor || type || ordinal), 1, 32) AS pass_anchor FROM s WHERE type <> 'heading'",
     "fence_code": f"""
         WITH {_RAW},
         v AS (SELECT doc_id, string_agg(CASE WHEN no % 11 = 10 THEN '```' || {_NL} || line || {_NL} || '  ```' WHEN no % 6 = 0 THEN 'const x = {{' || line || '}};' WHEN no % 6 = 3 THEN ' '

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from foldline.functions.text import WS, strip
+from foldline.operators.adapters import unescaped
 from foldline.operators.structure import FENCE
 
 #: Content types of each family; other ``text/*`` is plain.
@@ -70,9 +71,9 @@ def clean_text(text: Column, dehyphenate: bool = True, dedupe: bool = True, coll
 
 
 def strip_tags(html: Column) -> Column:
-    """Column: text of an HTML fragment: breaks and ends of paragraphs and table rows are line ends, other tags go. Entities stay."""
+    """Column: text of an HTML fragment: breaks and ends of paragraphs and table rows are line ends, other tags go, entities become characters."""
     text = F.regexp_replace(html, r"(?i)<br[\x09-\x0D ]*/?>|</p[\x09-\x0D ]*>|</tr[\x09-\x0D ]*>", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), "\r\n?", "\n")
+    text = F.regexp_replace(unescaped(F.regexp_replace(text, "<[^>]+>", "")), "\r\n?", "\n")
     return strip(F.regexp_replace(F.regexp_replace(text, "[ \t]+\n", "\n"), "\n{3,}", "\n\n"))
 
 

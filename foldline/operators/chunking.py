@@ -36,12 +36,6 @@ def chunks(docs: DataFrame, target: int = 1200, overlap: int = 120, least: int =
     return rows.select("doc_id", "page_idx", "chunk_no", F.format_string("%s-p%04d-c%03d", F.col("doc_id").cast("string"), F.col("page_idx") + 1, F.col("chunk_no") + 1).alias("chunk_id"), "text")
 
 
-def nearest_rank(lengths: Column, percent: int) -> Column:
-    """Aggregate column: the value at rank round((n - 1) * percent / 100), half to even; 0 for none. The values are few distinct lengths."""
-    counted = F.array_sort(F.collect_list(lengths))
-    return F.coalesce(F.element_at(counted, F.bround((F.count(lengths) - 1) * percent / F.lit(100.0)).cast("int") + 1), F.lit(0)).cast("double")
-
-
 def clamp_spans(rows: DataFrame) -> DataFrame:
     """Rows with (text, start, end): clamped spans and their text; empty and blank ones are dropped."""
     n = F.length("text")

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from foldline.functions.text import WS, not_blank, strip
 
-#: Words of code, symbols, and ends of lines of code.
+#: Words of code, and symbols.
 KEYWORDS = (
     "function class interface enum const let var def return returns switch case if else for while try catch throw import from "
     "public private protected service rpc message type struct func go"
 ).split()
 SYMBOLS = "{}();[]=<>"
-ENDINGS = (";", "{", "}", "});", ");", "],", "),")
 
 
 def paragraphs(docs: DataFrame, *keys: str) -> DataFrame:

@@ -27,10 +27,9 @@ def cosine_scores(docs: DataFrame, query: str, id_col: str, text_col: str) -> Da
     for t in _ascii_terms(query):
         q[t] = q.get(t, 0) + 1
     tokens = terms(F.coalesce(F.col(text_col), F.lit("")))
-    dot = F.lit(0)
-    for t, n in sorted(q.items()):
-        dot = dot + F.size(F.filter(F.col("_terms"), _equal_to(t))) * n
-    ordered = F.array_sort(F.col("_terms"))
+    counts = F.create_map(*[F.lit(x) for t, n in sorted(q.items()) for x in (t, n)]) if q else F.create_map().cast("map<string,int>")
+    dot = F.aggregate("_terms", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.try_element_at(counts, t), F.lit(0)))
+    ordered = F.sort_array("_terms")
     runs = F.aggregate(
         ordered,
         F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("squares")),
@@ -51,10 +50,6 @@ def top_k(docs: DataFrame, query: str, k: int, id_col: str, text_col: str) -> Da
     return cosine_scores(docs, query, id_col, text_col).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
 
 
-def _equal_to(term: str):
-    return lambda x: x == term
-
-
 def _ascii_terms(text: str) -> list[str]:
     import re
 

@@ -15,9 +15,16 @@ FILE_SCHEMA = StructType().add("path", "string").add("modificationTime", "timest
 
 
 def glob_pattern(glob: str) -> str:
-    """Regular expression for a relative path: ``*`` and ``?`` stay inside one component, and the glob matches from the right."""
-    parts = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in glob.strip("/"))
-    return rf"(^|/){parts}\z"
+    """Regular expression for a relative path: ``*``, ``?`` and ``[..]`` stay inside one component, and the glob matches from the right."""
+    def part(piece: str) -> str:
+        if piece in ("*", "?"):
+            return "[^/]*" if piece == "*" else "[^/]"
+        if len(piece) < 3:
+            return re.escape(piece)
+        inside = piece[1:-1].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+        return f"(?!/)[{'^' + inside[1:] if inside[0] == '!' else inside.replace('^', chr(92) + '^')}]"
+
+    return rf"(^|/){''.join(part(x) for x in re.findall(r'[[]!?[^]]+[]]|.', glob.strip('/')))}\z"
 
 
 def matches(path: Column, include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = ()) -> Column:
@@ -29,11 +36,12 @@ def matches(path: Column, include: tuple[str, ...] = ("*",), exclude: tuple[str,
 def raw_documents(files: DataFrame, base_dir: str, source_name: str = "local", include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source_ref, url, title, content_type, updated_at, content) of rows of FILE_SCHEMA; also works on a stream.
 
-    The id depends on the relative path alone. Types come from the file name's ending, else octet-stream.
+    ``base_dir`` is the folder as paths report it, see ``resolved_dir``. The id depends on the relative path alone. Types come from the file name's ending, else octet-stream.
     """
     types = dict(mimetypes.types_map) | {".pdf": "application/pdf", ".md": "text/markdown"}
     table = F.create_map(*[F.lit(x) for kv in sorted(types.items()) for x in kv])
-    at = F.instr("path", base_dir.rstrip("/") + "/") + len(base_dir.rstrip("/")) + 1
+    inner = re.sub(r"\A[a-z0-9+.-]+:/*", "/", base_dir.rstrip("/")) + "/"  # without the scheme, which has one slash or three
+    at = F.instr("path", inner) + len(inner)
     ref = F.expr("substring(path, _at)")
     rows = files.withColumn("_at", at).withColumn("source_ref", ref).where(matches(F.col("source_ref"), include, exclude))
     ending = F.lower(F.regexp_extract("source_ref", r"\.[^./]+\z", 0))
@@ -44,8 +52,18 @@ def raw_documents(files: DataFrame, base_dir: str, source_name: str = "local", i
     )
 
 
+def resolved_dir(spark: SparkSession, base_dir: str) -> str:
+    """The full path of a folder in its store, as Spark reports paths of files in it; raises ValueError if it is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base_dir)
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(at) or not store.getFileStatus(at).isDirectory():
+        raise ValueError(f"not a folder: {base_dir}")
+    return store.resolvePath(at).toString()
+
+
 def read_files(spark: SparkSession, base_dir: str, *, cursor: datetime | None = None, include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = (), source_name: str = "local") -> DataFrame:
-    """All files below ``base_dir`` that pass the globs and are at least as new as ``cursor``; corrupt ones are skipped."""
+    """All files below ``base_dir`` that pass the globs and are at least as new as ``cursor``; corrupt ones are skipped. ``base_dir`` must be a folder."""
+    base_dir = resolved_dir(spark, base_dir)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(base_dir)
     if cursor is not None:
         files = files.where(F.col("modificationTime") >= F.lit(cursor))

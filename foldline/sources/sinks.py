@@ -1,4 +1,4 @@
-"""Results as JSON lines, review texts and run manifests."""
+"""Results as JSON lines, review texts, and bundles of a run with a manifest."""
 
 from __future__ import annotations
 
@@ -31,3 +31,18 @@ def review_texts(chunks: DataFrame) -> DataFrame:
 def run_id(version: str, config: str):
     """Column over (content): identity of a run, from the version, the content's digest and the configuration's digest."""
     return F.concat_ws("_", F.lit(version), F.substring(F.sha2("content", 256), 1, 16), F.substring(F.sha2(F.lit(config), 256), 1, 16))
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str, run: str, facts: dict[str, str] | None = None) -> DataFrame:
+    """Write each table as key-sorted JSON lines to ``path``/name/run_id=``run``, then a manifest row with ``facts`` and the rows of each; returns the manifest.
+
+    A repeated run replaces its own files only. The tables are written one after the other; their rows are counted from what was written.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    counts = {}
+    for name, df in sorted(tables.items()):
+        write_json_lines(df.withColumn("run_id", F.lit(run)), f"{path}/{name}", ["run_id"])
+        counts[name] = spark.read.text(f"{path}/{name}/run_id={run}").count()
+    row = spark.range(1).select(F.lit(run).alias("run_id"), *[F.lit(v).alias(k) for k, v in sorted((facts or {}).items())], *[F.lit(n).alias(f"{name}_rows") for name, n in counts.items()])
+    write_json_lines(row, f"{path}/manifest", ["run_id"])
+    return row

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldline.operators.canonical import content_family, decoded
-from foldline.sources.files import FILE_SCHEMA, raw_documents
+from foldline.sources.files import FILE_SCHEMA, raw_documents, resolved_dir
 
 
 def ingest(spark: SparkSession, base_dir: str, out_dir: str, checkpoint: str, *, files_per_batch: int = 10_000, include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = ()) -> None:
@@ -14,6 +14,7 @@ def ingest(spark: SparkSession, base_dir: str, out_dir: str, checkpoint: str, *,
 
     A batch that is run again after a failure overwrites its own partition, so the sink stays exact. The checkpoint is the cursor.
     """
+    base_dir = resolved_dir(spark, base_dir)
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(base_dir)
     rows = raw_documents(files, base_dir, include=include, exclude=exclude)
     family, warning = content_family(F.col("content_type"))
