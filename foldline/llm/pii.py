@@ -175,10 +175,13 @@ def _around(text: Column, spans: Column, near: int) -> Column:
 
 
 def found_spans(docs: DataFrame, near: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, _text, spans, around), one row for each input row, without the text: written once for all that follows."""
+    """(doc_id, _text, spans, around, parts), one row for each input row, without the text: written once for all that follows. ``parts`` are terms of around that are no whole words of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     both = let(entity_spans(text), lambda s: F.struct(s.alias("spans"), _around(text, s, near).alias("around")))
-    return written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_text"), both.alias("x")).select("doc_id", "_text", "x.spans", "x.around"), "spans")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_text"), text.alias("text"), both.alias("x"))
+    some = F.array_except(F.transform("x.around", lambda w: w["term"]), F.transform(word_array(F.col("text")), F.lower))
+    parts = F.when(F.size("x.around") > 0, some).otherwise(F.array().cast("array<string>"))
+    return written(rows.select("doc_id", "_text", "x.spans", "x.around", parts.alias("parts")), "spans")
 
 
 def _with_entity(rows: DataFrame, kind: str, value: str) -> DataFrame:
@@ -199,10 +202,12 @@ def disclosing(docs: DataFrame, found: DataFrame, around: DataFrame, threshold:
     marked = _with_entity(found.select("_text", F.explode("spans").alias("e")), "e.kind", "e.value").select("_text", "entity", "whole").distinct()
     entity = written(marked.groupBy("entity", "whole").agg(F.count(F.lit(1)).alias("n_entity")), "entities")
     key = F.pmod("t", F.lit(_KEYS)).alias("key")
-    words = docs.select(F.xxhash64(text_col).alias("_text"), F.explode(F.array_distinct(F.transform(word_array(F.col(text_col)), F.lower))).alias("term"))
-    words = words.select("_text", F.xxhash64("term").alias("t")).withColumn("key", key).join(F.broadcast(joint.select(key).distinct()), "key", "left_semi").select("_text", "t")
-    parts = around.select("_text", F.xxhash64("term").alias("t"))  # parts of words that adjoin an entity are terms of their text too
-    terms = written(words.union(parts).distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_term")), "terms")
+    # copies of a text meet in the partial aggregation; only then are its words counted, each once
+    once = docs.select(F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("text")).where("text IS NOT NULL").groupBy("_text").agg(F.first("text").alias("text"))
+    words = once.select(F.explode(F.array_distinct(F.transform(word_array(F.col("text")), F.lower))).alias("term"))
+    words = words.select(F.xxhash64("term").alias("t")).withColumn("key", key).join(F.broadcast(joint.select(key).distinct()), "key", "left_semi").select("t")
+    parts = found.select("_text", F.explode("parts").alias("term")).distinct().select(F.xxhash64("term").alias("t"))  # parts of words that adjoin an entity are terms of their text too
+    terms = written(words.union(parts).groupBy("t").agg(F.count(F.lit(1)).alias("n_term")), "terms")
     total = found.select("_text").distinct().agg(F.count(F.lit(1)).alias("n_all"))
     kinds = joint.where("whole").join(F.broadcast(entity.where("whole").select("entity", "n_entity")), "entity")  # as many as there are kinds
     values = joint.where("NOT whole").join(entity.where("NOT whole").select("entity", "n_entity"), "entity")
