@@ -9,7 +9,11 @@ whose size the vocabulary fixes.
 from __future__ import annotations
 
 import json
+import os
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,8 @@ _PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, int]]:
-    """The tokenizer without truncation and padding, and its special tokens."""
+    """The tokenizer without truncation and padding, and its special tokens. A task has one core, so it starts no threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
@@ -59,14 +64,13 @@ def _split(text: str, special: dict[str, int]) -> list[str]:
     return out
 
 
-def _distinct(texts: list[str], special: dict[str, int], buckets: int) -> tuple[list[list[str]], list[tuple[int, list[str]]]]:
-    """Pre-tokens of each text, and the distinct ones of all, sorted, by bucket of their hash, in order of the buckets."""
-    split = [_split(t, special) for t in texts]
-    words = sorted(set().union(*split)) if split else []
+def _by_bucket(words: Iterable[str], buckets: int) -> list[tuple[int, list[str]]]:
+    """Distinct pre-tokens, sorted, by bucket of their hash, in order of the buckets."""
+    words = sorted(words)
     by: dict[int, list[str]] = {}
     for w, b in zip(words, _bucket(words, buckets), strict=True):
         by.setdefault(b, []).append(w)
-    return split, sorted(by.items())
+    return sorted(by.items())
 
 
 def _bucket(words: list[str], buckets: int) -> list[int]:
@@ -80,23 +84,34 @@ def _bucket(words: list[str], buckets: int) -> list[int]:
     return (P.mix(total[ends[1:]] - total[ends[:-1]]) % np.uint64(buckets)).tolist()
 
 
-def _texts(t: pa.Table) -> list[str]:
-    return [x or "" for x in t["text"].to_pylist()]
+def _texts(t: pa.Table) -> Iterator[str]:
+    return (x.as_py() or "" for x in t["text"])
 
 
-def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _decoded(ids: pa.Array, ends: np.ndarray, path: str) -> pa.Array:
+    """The texts of consecutive ranges of ``ids``, by a lookup of each id's piece; ``ends`` has the first begin and all ends."""
+    got = _pieces(path).cast(pa.large_binary()).take(ids)
+    at = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)[ends]
+    data = memoryview(got.buffers()[2]) if len(got) else b""
+    return pa.array([str(data[a:b], "utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+
+
+def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
     """Token ids of every text, as the tokenizer file gives them without adding special tokens.
 
     Returns doc_id and ids (array<int>), one row for each input row, repeated ids included. Null
-    and empty texts have no ids. A special token's string in a text becomes its id. Other columns
-    are ignored. ``docs`` must be a scan of files or a written table; ``tokenizer_path`` must be
+    and empty texts have no ids. A special token's string in a text becomes its id. ``decoded_col`` names a further
+    column for what :func:`bpe_decode` makes of the ids, here in the task that found them. Other columns are ignored. ``docs`` must be a scan of files or a written table; ``tokenizer_path`` must be
     readable where tasks run. For byte-level BPE vocabularies. An empty table gives no rows; a very long text is one pack.
     """
     buckets = P.key_buckets(docs, shuffle_partitions(docs.sparkSession))
     packs = P.packed(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), ["doc_id", "text"])
 
     def ask(pack: int, t: pa.Table):
-        by = _distinct(_texts(t), _tokenizer(tokenizer_path)[1], buckets)[1]
+        special, words = _tokenizer(tokenizer_path)[1], set()
+        for text in _texts(t):
+            words.update(_split(text, special))
+        by = _by_bucket(words, buckets)
         press = zstandard.ZstdCompressor(level=6)
         asked = [press.compress("\x00".join(w.replace("\x00", "\x00\x01") for w in own).encode()) for _, own in by]
         yield pa.RecordBatch.from_pydict({"pack": pa.array([pack] * len(by), pa.int64()), "bucket": pa.array([b for b, _ in by], pa.int32()), "words": pa.array(asked, pa.binary())})
@@ -123,7 +138,9 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
         return out
 
     def join(pack: int, t: pa.Table, answers: pa.Table) -> pa.Table:
-        split, by = _distinct(_texts(t), _tokenizer(tokenizer_path)[1], buckets)
+        special, seen = _tokenizer(tokenizer_path)[1], defaultdict(count().__next__)  # numbers pre-tokens as they come
+        places = [np.fromiter(map(seen.__getitem__, _split(text, special)), np.int32) for text in _texts(t)]
+        words = [w for _, own in _by_bucket(seen, buckets) for w in own]
         unpress, counts, flats = zstandard.ZstdDecompressor(), [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for a in answers["answer"].to_pylist():
             b = unpress.decompress(a)
@@ -131,20 +148,20 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
             counts.append(P.from_planes(b[4 : 4 + 4 * n], 4).astype(np.int64))
             total, rest = int(counts[-1].sum()), b[4 + 4 * n :]
             flats.append(np.frombuffer(rest, np.uint32 if len(rest) == 4 * total else np.uint16).astype(np.uint32))
-        count, flat = np.concatenate(counts), np.concatenate(flats)
-        first = np.concatenate([[0], np.cumsum(count)])
-        words = [w for _, own in by for w in own]
-        if len(words) != len(count):
+        n_ids, flat = np.concatenate(counts), np.concatenate(flats)
+        first = np.concatenate([[0], np.cumsum(n_ids)])
+        if len(words) != len(n_ids):
             raise RuntimeError("a pack changed between its question and its answer; the input must be a scan of files")
-        at = {w: k for k, w in enumerate(words)}.__getitem__
-        sizes = [len(s) for s in split]
-        k = np.fromiter((at(w) for s in split for w in s), np.int64, sum(sizes))
-        ids = flat[_ranges(first[k], count[k])].astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum(count[k])])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
-        return pa.table({"doc_id": t["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))})
+        rank = np.zeros(len(words), np.int64)
+        rank[np.fromiter((seen[w] for w in words), np.int64, len(words))] = np.arange(len(words))
+        k = rank[np.concatenate([np.zeros(0, np.int32), *places])]
+        ids = pa.array(flat[_ranges(first[k], n_ids[k])].astype(np.int32), pa.int32())
+        ends = np.concatenate([[0], np.cumsum(n_ids[k])])[np.concatenate([[0], np.cumsum([len(x) for x in places])]).astype(np.int64)]
+        out = {"doc_id": t["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)}
+        return pa.table(out | ({decoded_col: _decoded(ids, ends, tokenizer_path)} if decoded_col else {}))
 
     asked = P.each_pack(packs, ask, "pack long, bucket int, words binary")
-    return P.with_answers(packs, P.answered(asked, encode), join, "doc_id long, ids array<int>")
+    return P.with_answers(packs, P.answered(asked, encode), join, "doc_id long, ids array<int>" + (f", `{decoded_col}` string" if decoded_col else ""))
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -171,14 +188,10 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str, *, ids_col: str = "ids",
     names = [f.name for f in schema][:-1]
 
     def run(batches):
-        pieces = _pieces(tokenizer_path)
         for batch in batches:
             ids = batch.column(ids_col)
             ends = np.concatenate([[0], np.cumsum([0 if n is None else n for n in ids.value_lengths().to_pylist()])]).astype(np.int64)
-            got = pieces.cast(pa.large_binary()).take(ids.flatten())
-            at = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)[ends]
-            data = got.buffers()[2].to_pybytes() if len(got) else b""
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, out_col])
+            texts = _decoded(ids.flatten(), ends, tokenizer_path)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), texts], names=[*names, out_col])
 
     return encoded.drop(out_col).mapInArrow(run, schema)

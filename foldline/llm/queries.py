@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldline.llm._shared import written
-from foldline.llm.bpe import bpe_decode, bpe_encode
+from foldline.llm.bpe import bpe_encode
 from foldline.llm.exact_dedup import exact_dedup
 from foldline.llm.line_dedup import line_dedup
 from foldline.llm.lm_scoring import lm_scores
@@ -74,8 +74,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    out = bpe_decode(bpe_encode(documents(spark, sf_dir), path), path)
+    out = bpe_encode(documents(spark, sf_dir), vocabulary(), decoded_col="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -68,6 +68,7 @@ def test_bpe(docs, empty):
     got = sorted((r["doc_id"], list(r["ids"]), r["decoded"]) for r in bpe_decode(bpe_encode(docs, path), path).collect())
     want = [(k, t.encode(x or "", add_special_tokens=False).ids) for k, x, *_ in rows()]
     assert got == sorted((k, ids, t.decode(ids, skip_special_tokens=False)) for k, ids in want)
+    assert got == sorted((r["doc_id"], list(r["ids"]), r["out"]) for r in bpe_encode(docs, path, decoded_col="out").collect())
     assert bpe_encode(empty, path).count() == 0
 
 
