@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldline.llm._shared import written
-from foldline.llm.bpe import bpe_decode, bpe_encode
+from foldline.llm.bpe import bpe_encode
 from foldline.llm.line_dedup import line_dedup
 from foldline.llm.minhash import near_duplicates
 from foldline.llm.mixing import mix
@@ -52,8 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text of the mix, with digests of the ids and of what they decode to; null texts have no ids. One row for each row of ``docs``."""
-    path = vocabulary()
-    out = bpe_decode(bpe_encode(docs, path), path)
+    out = bpe_encode(docs, vocabulary(), decoded_col="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
