@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from foldline.llm import _packs as P
 from foldline.llm._shared import small_batches, written
 
+#: Elements before one that are kept beside it, to report a pair at the first that it shares; a pair reported twice is only work.
+_BEFORE = 8
 _SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
@@ -223,14 +225,14 @@ def _around(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _differences(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(c, element, rep, label, seeks, gives, u, rest, last): for each member around a centre, the first elements of its difference from it.
+    """(c, element, rep, label, seeks, gives, size, u, rest, before): for each member around a centre, the first elements of its difference from it.
 
     With D the symmetric difference of a set x and the centre c, and h = (1 - t) / (1 + t): x and y are similar if
     |Dx - Dy| + |Dy - Dx| <= h (|x| + |y|), so they share at least (u(x) + u(y)) / 2 elements of Dx and Dy, where u(x) = |Dx| - h |x|.
     If x is not similar to c this is one at least, and more than x's own u less h |x| / t. So of the elements
     in a fixed order only those before the last ones that could make up that many need to be looked up (``seeks``, for members
-    apart from the centre) or entered (``gives``). ``rest`` is the number of elements after this one, ``last`` the element before
-    it. Elements that c lacks come first: they are rarer.
+    apart from the centre) or entered (``gives``). ``rest`` is the number of elements after this one, ``before`` has up to
+    ``_BEFORE`` elements before it, ``size`` is |x|. Elements that c lacks come first: they are rarer.
     """
     t = percent / 100
     h = (1 - t) / (1 + t)
@@ -244,22 +246,26 @@ def _differences(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 seeks = n - max(1, int(np.ceil(u - h * len(x) / t - 1e-6))) + 1 if row["apart"] else 0
                 gives = n - max(1, int(np.floor((h * len(c) + u) / 2 - 1e-6)) + 1) + 1
                 k = min(n, max(seeks, gives, 0))
-                at = np.arange(k)
+                at, values = np.arange(k), d[:k].view(np.int64)
+                first = np.maximum(at - _BEFORE, 0)
+                ends = np.concatenate([[0], np.cumsum(at - first)])
+                before = values[np.arange(ends[-1]) + np.repeat(first - ends[:-1], at - first)]
                 yield pa.RecordBatch.from_pydict({
-                    "c": pa.array(np.full(k, row["b"])), "element": pa.array(d[:k].view(np.int64)), "rep": pa.array(np.full(k, row["a"])), "label": pa.array(np.full(k, row["label"])),
-                    "seeks": pa.array(at < seeks), "gives": pa.array(at < gives), "u": pa.array(np.full(k, u)), "rest": pa.array(n - 1 - at, pa.int32()),
-                    "last": pa.array([None, *d[: k - 1].view(np.int64).tolist()][:k], pa.int64()),
+                    "c": pa.array(np.full(k, row["b"])), "element": pa.array(values), "rep": pa.array(np.full(k, row["a"])), "label": pa.array(np.full(k, row["label"])),
+                    "seeks": pa.array(at < seeks), "gives": pa.array(at < gives), "size": pa.array(np.full(k, len(x)), pa.int32()), "u": pa.array(np.full(k, u)), "rest": pa.array(n - 1 - at, pa.int32()),
+                    "before": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(before, pa.int64())),
                 })
 
     both = _with_sides(around.select(F.col("rep").alias("a"), F.col("c").alias("b"), "label", "apart"), sets, "set")
-    return both.mapInArrow(run, "c long, element long, rep long, label long, seeks boolean, gives boolean, u double, rest int, last long")
+    return both.mapInArrow(run, "c long, element long, rep long, label long, seeks boolean, gives boolean, size int, u double, rest int, before array<long>")
 
 
 def _prefix_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one band with different labels that share enough of their differences from the centre; no similar pair is left out."""
     found = written(_differences(written(_around(members, nodes), "around"), sets, percent), "differences")
-    side = lambda name, flag: found.where(flag).select("c", "element", *[F.col(x).alias(f"{x}_{name}") for x in ("rep", "label", "u", "rest", "last")])
+    side = lambda name, flag: found.where(flag).select("c", "element", *[F.col(x).alias(f"{x}_{name}") for x in ("rep", "label", "size", "u", "rest", "before")])
     enough = 2 * (1 + F.least("rest_x", "rest_y")) >= F.col("u_x") + F.col("u_y") - 1e-6
-    fresh = F.coalesce(F.col("last_x") != F.col("last_y"), F.lit(True))  # else the two have met at the element before
-    both = side("x", "seeks").join(side("y", "gives"), ["c", "element"]).where((F.col("label_x") != F.col("label_y")) & enough & fresh)
+    sized = 100 * F.least("size_x", "size_y").cast("long") >= percent * F.greatest("size_x", "size_y").cast("long")
+    fresh = ~F.arrays_overlap("before_x", "before_y")  # else the two have met at an element before this one
+    both = side("x", "seeks").join(side("y", "gives"), ["c", "element"]).where((F.col("label_x") != F.col("label_y")) & sized & enough & fresh)
     return both.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
