@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldline.llm._shared import written
 from foldline.llm.bpe import bpe_encode
+from foldline.llm.conversation_trie import conversation_trie
 from foldline.llm.exact_dedup import exact_dedup
+from foldline.llm.license_scan import judged, license_scan
 from foldline.llm.line_dedup import line_dedup
 from foldline.llm.lm_scoring import lm_scores
+from foldline.llm.merkle import merkle_manifest
 from foldline.llm.minhash import near_duplicates
 from foldline.llm.mixing import mix
 from foldline.llm.pii import KINDS, MORE_KINDS, find_private
@@ -92,9 +97,34 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_substring_dedup, op4_quality_rules, op5_minhash, op6_exact_dedup, op7_mixing, op8_quality_classifier, op9_bpe, op10_pii)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle_manifest(documents(spark, sf_dir), tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+    siblings = F.array_join(F.transform("proof", lambda p: F.concat(p["before"], p["after"])), "")
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judged(license_scan(documents(spark, sf_dir)))
+    base = F.filter("places", lambda p: p["kind"] == "base")
+    words = F.transform(base, lambda p: p["word"])
+    return out.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda p: p["label"]))), ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+        F.size("expressions").cast("long").alias("n_expressions"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_substring_dedup, op4_quality_rules, op5_minhash, op6_exact_dedup, op7_mixing, op8_quality_classifier, op9_bpe, op10_pii, op11_conversation_trie, op12_merkle_manifest, op13_license_scan)}
 #: Words of a text; its lines with a word, without outer white space, in order.
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+#: DuckDB has no crc32: byte by byte, eight steps of the polynomial each.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384::BIGINT * (c & 1)))))"""
 SQL: dict[str, str] = {
     "op1_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
@@ -113,4 +143,36 @@ SQL: dict[str, str] = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)""",
+    "op11_conversation_trie": r"""
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+                strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '') AS key, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, CRC % 9 AS h, list(sha256(key) ORDER BY pos) AS keys, list(bytes ORDER BY pos) AS bytes FROM t GROUP BY 1),
+        r AS (SELECT c.conv_id, coalesce(b.keys[1:c.h], []) || c.keys[c.h + 1:] AS keys, coalesce(b.bytes[1:c.h], []) || c.bytes[c.h + 1:] AS bytes
+            FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5),
+        p AS (SELECT conv_id, d, sha256(array_to_string(keys[1:d], ',')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(keys[1:d - 1], ',')) END AS up,
+                CASE WHEN d > 0 THEN bytes[d] ELSE 0 END AS b, len(keys) = d AS last FROM (SELECT *, unnest(range(len(keys) + 1)) AS d FROM r)),
+        n AS (SELECT d, k, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(b) AS saved,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends FROM p GROUP BY 1, 2),
+        x AS (SELECT n.*, coalesce(m.c, 0) AS n_children FROM n LEFT JOIN (SELECT d, up, count(*) AS c FROM n WHERE d > 0 GROUP BY 1, 2) m ON m.d = n.d + 1 AND m.up = n.k),
+        below AS (SELECT p.d, p.k, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(x.saved) AS saved FROM x JOIN p ON p.conv_id = x.conv_id AND p.d <= x.d GROUP BY 1, 2)
+        SELECT x.conv_id, x.d::BIGINT AS depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+        FROM x JOIN below b USING (d, k) LEFT JOIN n u ON u.d = x.d - 1 AND u.k = x.up""".replace("CRC", _CRC.format("conv_id")),
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || lang, '0') AS tree, coalesce(CRC % 3 = 0, false) AS bad,
+                V(doc_id) || V(source) || V(lang) || V(n_chars) AS head, text FROM documents),
+        l AS (SELECT doc_id, tree, sha256(head || V(text)) AS leaf, sha256(head || CASE WHEN bad THEN V(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) ELSE V(text) END) AS now FROM d),
+        p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+        low(tree, level, nodes) AS (SELECT tree, 0, list(leaf ORDER BY pos) FROM p GROUP BY 1
+            UNION ALL SELECT tree, level + 1, list_transform(range((len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[8 * i + 1:8 * i + 8], ''))) FROM low WHERE len(nodes) > 1),
+        sub AS (SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM low WHERE len(nodes) = 1),
+        up(level, nodes) AS (SELECT 0, list(subroot ORDER BY pos) FROM sub
+            UNION ALL SELECT level + 1, list_transform(range((len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[8 * i + 1:8 * i + 8], ''))) FROM up WHERE len(nodes) > 1),
+        levels AS (SELECT p.doc_id, p.tree, p.pos, p.leaf, p.now, low.level, (p.pos // (8 ** low.level)::BIGINT)::BIGINT AS ix, nodes FROM p JOIN low USING (tree) WHERE len(nodes) > 1
+            UNION ALL SELECT p.doc_id, p.tree, p.pos, p.leaf, p.now, 1000 + up.level, (sub.pos // (8 ** up.level)::BIGINT)::BIGINT, nodes FROM p JOIN sub USING (tree) CROSS JOIN up WHERE len(nodes) > 1),
+        s AS (SELECT *, array_to_string(nodes[8 * (ix // 8) + 1:ix], '') AS before, array_to_string(nodes[ix + 2:8 * (ix // 8) + 8], '') AS after FROM levels),
+        f AS (SELECT tree, pos, sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256,
+                list_reduce(list_prepend({'b': '', 'a': any_value(now)}, list({'b': before, 'a': after} ORDER BY level)), lambda x, y: {'b': '', 'a': sha256(y.b || x.a || y.a)}).a AS folded_root FROM s GROUP BY 1, 2)
+        SELECT p.doc_id, p.leaf, sub.subroot, r.root, coalesce(f.proof_sha256, sha256('')) AS proof_sha256, coalesce(f.folded_root, p.now) AS folded_root, coalesce(f.folded_root, p.now) = r.root AS verified
+        FROM p JOIN sub USING (tree) CROSS JOIN (SELECT nodes[1] AS root FROM up WHERE len(nodes) = 1) r LEFT JOIN f ON f.tree = p.tree AND f.pos = p.pos""".replace("CRC", _CRC.format("doc_id")),
 }
+SQL["op12_merkle_manifest"] = re.sub(r"V\((\w+|translate\([^()]*\))\)", r"coalesce(strlen((\1)::VARCHAR)::VARCHAR || ':' || (\1)::VARCHAR, '-')", SQL["op12_merkle_manifest"])
