@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the 29 code points that Python's ``str.strip`` and ``\\s`` take as white space.
 WS = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
 
+#: The same code points as characters, by Python's own rule.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 
 def strip(c: Column) -> Column:
     """``c`` without white space at either end."""
@@ -21,3 +24,17 @@ def not_blank(c: Column) -> Column:
 def terms(c: Column) -> Column:
     """Lower-case ASCII alphanumeric terms, extracted before lower-casing."""
     return F.transform(F.regexp_extract_all(c, F.lit("([a-zA-Z0-9]+)"), 1), F.lower)
+
+
+def spaced(c: Column) -> Column:
+    """``c`` with every white space as a plain space: patterns over it need a class of one character, which matches some ten times as fast."""
+    return F.translate(c, WS_CHARS, " " * len(WS_CHARS))
+
+
+def words(c: Column) -> Column:
+    """The runs of characters that are no white space."""
+    return F.regexp_extract_all(spaced(c), F.lit("[^ ]+"), F.lit(0))
+
+
+def word_count(c: Column) -> Column:
+    return F.regexp_count(spaced(c), F.lit("[^ ]+"))

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldline.functions.text import WS
+from foldline.functions.text import words
 from foldline.sources.tables import kept
 
 
 def word_set(text):
     """Column: the distinct lower-case words of ``text``; one empty word where it has none, so that blank texts are alike."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[^{WS}]+"), F.lit(0)))
-    return F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(words)
+    found = F.array_distinct(words(F.lower(F.coalesce(text, F.lit("")))))
+    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
 
 
 def _classes(old: DataFrame, new: DataFrame) -> DataFrame:

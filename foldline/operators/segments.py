@@ -10,16 +10,13 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from foldline.functions.text import WS
+from foldline.functions.text import word_count as token_count
 
 #: Fixed value: what a line at the left margin begins with where code goes on to something new.
 DEFINES = r"^(async def |def |class |@|function |export |public |private |static |fn |func |impl |struct |interface )"
 _PIECE = "array<struct<from:int,to:int,n:int>>"
 
 
-def token_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(rf"[^{WS}]+"), F.lit(0)))
-
-
 def _let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -49,13 +46,13 @@ def _by_word(units: Column, most: int) -> Column:
     return F.flatten(F.transform(units, lambda u: F.when(u["n"] > most, words(u)).otherwise(F.array(u))))
 
 
-def cut_units(units: Column, most: Column) -> Column:
+def cut_units(units: Column, most: Column, ranks: tuple[int, ...] = (3, 2, 1)) -> Column:
     """Column: pieces (from, to, n) of an array of units (n tokens each, rank of the boundary before it), in order and without gaps.
 
     A piece takes units while its tokens stay within ``most``. It ends at the last boundary of the highest rank that leaves it at least half
-    full and the rest within ``most``, else before the unit that no longer fits. Only a single unit of over ``most`` tokens makes a piece above it.
+    full and the rest within ``most``, else before the unit that no longer fits. Only a single unit of over ``most`` tokens makes a piece above it. ``ranks`` are those that occur,
+    highest first; without any the fold keeps no boundaries.
     """
-    ranks = (3, 2, 1)
     zero = F.struct(
         F.array().cast(_PIECE).alias("pieces"), *[F.lit(0).alias(c) for c in ("i", "sum", "start", "base")],
         *[F.lit(x).alias(f"{c}{k}") for k in ranks for c, x in (("at", -1), ("sum", 0))],
@@ -66,7 +63,7 @@ def cut_units(units: Column, most: Column) -> Column:
         total = a["sum"] + u["n"]
         full = (a["i"] > a["start"]) & (total - a["base"] > most)
         good = {k: (here[k][0] > a["start"]) & (total - here[k][1] <= most) & ((here[k][1] - a["base"]) * 2 >= most) for k in ranks}
-        pick = lambda j, last: F.when(good[3], here[3][j]).when(good[2], here[2][j]).when(good[1], here[1][j]).otherwise(last)
+        pick = lambda j, last: F.coalesce(*[F.when(good[k], here[k][j]) for k in ranks], last)
         to, upto = pick(0, a["i"]), pick(1, a["sum"])
         piece = F.struct(a["start"].alias("from"), to.alias("to"), (upto - a["base"]).alias("n"))
         return F.struct(
@@ -79,19 +76,20 @@ def cut_units(units: Column, most: Column) -> Column:
     return F.aggregate(units, zero, step, last)
 
 
-def _pieces(units: Column, most: Column, head: Column) -> Column:
+def _pieces(units: Column, most: int, head: Column, ranks: tuple[int, ...]) -> Column:
     """Column: (start, end, n_tokens, head, text) of the pieces of ``units``; ``head``, which the units do not hold, comes before every piece."""
     heads = F.length(head)
     zero = F.struct(F.array().cast("array<struct<start:int,end:int,n_tokens:int,head:string,body:string>>").alias("out"), heads.alias("at"))
 
-    def place(u: Column):
+    def place(u: Column, head_tokens: Column):
         def step(a: Column, p: Column) -> Column:
             body = F.array_join(F.transform(F.slice(u, p["from"] + 1, p["to"] - p["from"]), lambda x: x["s"]), "")
-            return _let(body, lambda b: F.struct(F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(b)).alias("end"), (p["n"] + token_count(head)).alias("n_tokens"), head.alias("head"), b.alias("body")))).alias("out"), (a["at"] + F.length(b)).alias("at")))
+            return _let(body, lambda b: F.struct(F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(b)).alias("end"), (p["n"] + head_tokens).alias("n_tokens"), head.alias("head"), b.alias("body")))).alias("out"), (a["at"] + F.length(b)).alias("at")))
 
         return step
 
-    return _let(units, lambda u: F.aggregate(cut_units(u, most), zero, place(u), lambda a: a["out"]))
+    room = lambda n: F.greatest(F.lit(most) - n, F.lit(1))
+    return _let(token_count(head), lambda n: _let(room(n), lambda m: _let(units, lambda u: F.aggregate(cut_units(u, m, ranks), zero, place(u, n), lambda a: a["out"]))))
 
 
 def _ranked_lines(text: Column) -> Column:
@@ -137,12 +135,12 @@ def split_block(kind: Column, text: Column, most: int) -> Column:
     plain = lambda x: F.transform(x, lambda u: _unit(u, F.lit(1)))
 
     def headed(head: Column, units) -> Column:
-        return _let(head, lambda h: _pieces(plain(units(F.substring(t, F.length(h) + 1, F.length(t)))), F.greatest(F.lit(most) - token_count(h), F.lit(1)), h))
+        return _let(head, lambda h: _pieces(plain(units(F.substring(t, F.length(h) + 1, F.length(t)))), most, h, ()))
 
     whole = F.when(t != "", F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("end"), token_count(t).alias("n_tokens"), none.alias("head"), t.alias("body")))).otherwise(F.array().cast("array<struct<start:int,end:int,n_tokens:int,head:string,body:string>>"))
     many = (
         F.when(kind == "table", headed(_table_head(t), text_lines)).when(kind == "list", headed(_list_head(t), _items))
-        .when(kind == "code", _pieces(_by_word(_ranked_lines(t), most), F.lit(most), none)).otherwise(_pieces(_by_word(plain(sentences(t)), most), F.lit(most), none))
+        .when(kind == "code", _pieces(_by_word(_ranked_lines(t), most), most, none, (3, 2, 1))).otherwise(_pieces(_by_word(plain(sentences(t)), most), most, none, (1,)))
     )
     return F.when(token_count(t) <= most, whole).otherwise(many)
 
