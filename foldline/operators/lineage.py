@@ -1,8 +1,9 @@
 """Successors of text segments from one version of a document to the next, by similarity of their words.
 
 Candidates come from a set-similarity join inside each document: words are ordered rarest first, and two segments as similar as asked for
-share one of their first few words. Segments of one text are one class with a number of members, so repeated lines form no pairs among themselves. Classes
-are then assigned one to one, the most similar pair first; every round settles all pairs that are the best for both sides.
+share one of their first few words. Segments of one text are one class with a number of members, so repeated lines form no pairs among themselves, and those of
+a text that both versions hold go together first. What is left is
+then assigned one to one, the most similar pair first; every round settles all pairs that are the best for both sides.
 """
 
 from __future__ import annotations
@@ -20,20 +21,26 @@ def word_set(text):
     return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
 
 
-def _classes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, old, cls, first, n, words): the texts of each side with their number of members."""
-    both = old.select("doc_id", F.lit(True).alias("old"), "id", "text").unionByName(new.select("doc_id", F.lit(False).alias("old"), "id", "text"))
-    rows = both.withColumn("text", F.coalesce("text", F.lit(""))).groupBy("doc_id", "old", F.md5("text").alias("cls"))
-    return rows.agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("text").alias("_text")).withColumn("words", word_set(F.col("_text"))).drop("_text")
+def _classes(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts of both sides that go together as they are: doc_id, cls, taken; the texts that are left over on one side: doc_id, old, cls, first, n, used, words)."""
+    side = lambda rows, is_old: rows.select("doc_id", F.lit(is_old).alias("old"), "id", F.coalesce("text", F.lit("")).alias("text"))
+    of = lambda is_old: F.when(F.col("old") == is_old, F.col("id"))
+    both = side(old, True).unionByName(side(new, False)).groupBy("doc_id", F.md5("text").alias("cls")).agg(
+        F.count(of(True)).alias("a"), F.count(of(False)).alias("b"), F.min(of(True)).alias("a_first"), F.min(of(False)).alias("b_first"), F.any_value("text").alias("text"),
+    )
+    both = kept(both.withColumn("text", F.when(F.col("a") != F.col("b"), F.col("text"))), "texts")  # what matches in full needs no more comparing
+    taken = F.least("a", "b").alias("taken")
+    left = both.where("a <> b").select("doc_id", (F.col("a") > F.col("b")).alias("old"), "cls", F.when(F.col("a") > F.col("b"), F.col("a_first")).otherwise(F.col("b_first")).alias("first"), F.abs(F.col("a") - F.col("b")).alias("n"), taken.alias("used"), word_set(F.col("text")).alias("words"))
+    return both.select("doc_id", "cls", taken).where("taken > 0"), kept(left, "left")
 
 
 def similar_pairs(classes: DataFrame, least: float) -> DataFrame:
     """(doc_id, a, b, similarity): classes of the old and the new side of a document whose word sets have a Jaccard similarity of ``least`` or more.
 
     A set of n words needs only its n - ceil(least * n) + 1 rarest ones as keys, by how many classes of the document hold them. A key is met only where the sizes of
-    the sets and the places of the key in them leave ``least`` possible; the sets themselves travel once for each pair that is left.
+    the sets and the places of the key in them leave ``least`` possible; the sets themselves travel once for each pair that is left. Keys are 64-bit hashes; similarities count the words.
     """
-    held = classes.select("doc_id", "old", "cls", F.size("words").alias("size"), F.explode("words").alias("word"))
+    held = classes.select("doc_id", "old", "cls", F.size("words").alias("size"), F.explode(F.transform("words", lambda x: F.xxhash64(x))).alias("word"))
     rare = held.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("df"))
     ordered = held.join(rare, ["doc_id", "word"]).groupBy("doc_id", "old", "cls", "size").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
     keys = F.slice("w", F.lit(1), (F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1).cast("int"))
@@ -52,9 +59,9 @@ def similar_pairs(classes: DataFrame, least: float) -> DataFrame:
 
 def _assigned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc_id, a, b, similarity, a_from, b_from, taken): how many members of which classes go together, from which member on, best pairs first."""
-    order = F.struct(F.negative("similarity").alias("s"), (F.col("a") != F.col("b")).alias("d"), F.col("a_first").alias("x"), F.col("b_first").alias("y"))
+    order = F.struct(F.negative("similarity").alias("s"), F.col("a_first").alias("x"), F.col("b_first").alias("y"))
     live = kept(pairs.withColumn("order", order).select("doc_id", "a", "b", "similarity", "order"), "pairs")
-    sizes = lambda old, name: classes.where(F.col("old") == old).select("doc_id", F.col("cls").alias(name), F.col("n").alias(f"{name}_left"), F.lit(0).cast("long").alias(f"{name}_from"))
+    sizes = lambda old, name: classes.where(F.col("old") == old).select("doc_id", F.col("cls").alias(name), F.col("n").alias(f"{name}_left"), F.col("used").alias(f"{name}_from"))
     live = kept(live.join(sizes(True, "a"), ["doc_id", "a"]).join(sizes(False, "b"), ["doc_id", "b"]), "live")
     done = live.limit(0).withColumn("taken", F.col("a_left")).select("doc_id", "a", "b", "similarity", "a_from", "b_from", "taken")
     while not live.isEmpty():
@@ -79,8 +86,10 @@ def text_lineage(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFram
     """
     if least <= 0:
         raise ValueError("least must be positive")
-    classes = kept(_classes(old, new), "classes")
-    taken = kept(_assigned(similar_pairs(classes, least), classes), "taken")
+    equal, classes = _classes(old, new)
+    zero = F.lit(0).cast("long")
+    equal = equal.select("doc_id", F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity"), zero.alias("a_from"), zero.alias("b_from"), "taken")
+    taken = kept(equal.unionByName(_assigned(similar_pairs(classes, least), classes)), "taken")
     nth = F.row_number().over(Window.partitionBy("doc_id", "_cls").orderBy("id")) - 1
     member = lambda rows: rows.select("doc_id", "id", F.md5(F.coalesce("text", F.lit(""))).alias("_cls")).withColumn("_n", nth)
     each = taken.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("taken") - 1)))
