@@ -38,3 +38,19 @@ def words(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     return F.regexp_count(spaced(c), F.lit("[^ ]+"))
+
+
+#: Code points of a chunk.
+CHUNK = 1024
+
+
+def text_chunks(c: Column) -> Column:
+    """``c`` in chunks of ``CHUNK`` code points, for ``part``: a place in a string is found by counting from its start, so many places need chunks."""
+    return F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def part(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to before ``end`` of a text in chunks, at the cost of their number."""
+    first = F.floor(start / CHUNK).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(held, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))).otherwise("")

@@ -96,16 +96,17 @@ def segment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, start, end) of all blocks; the first begins 3 characters before the text, one that ends the text 40 after it."""
+    """(doc_id, start, end) of all blocks; the first begins 3 characters before the text, one that ends the text 40 after it."""
     found = structure.blocks(docs).select("doc_id", "block_idx", "start_off", "end_off")
     start = F.when(F.col("block_idx") == 0, F.lit(-3)).otherwise(F.col("start_off"))
-    end = F.col("end_off") + F.when(F.col("end_off") == F.length("text"), 40).otherwise(0)
-    return found.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", start.alias("start"), end.alias("end"))
+    end = F.col("end_off") + F.when(F.col("end_off") == F.col("n"), 40).otherwise(0)
+    return found.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").select("doc_id", start.alias("start"), end.alias("end"))
 
 
 def segment_block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunking.clamp_spans(block_spans(marked_up(_docs(spark, sf_dir))))
-    return found.select("doc_id", F.col("start_off").cast("long").alias("start_off"), F.col("end_off").cast("long").alias("end_off"), F.md5("passage").alias("passage_md5"))
+    docs = marked_up(_docs(spark, sf_dir))
+    found = chunking.cut_spans(docs, block_spans(docs))
+    return found.select("doc_id", "start_off", "end_off", F.md5("passage").alias("passage_md5"))
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

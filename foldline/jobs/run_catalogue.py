@@ -10,7 +10,7 @@ from foldline.jobs import catalogue, page_catalogue
 from foldline.jobs.catalogue import _WS, _docs, _strip, engine_pages
 from foldline.jobs.page_catalogue import _NL, _PAGES, _RAW
 from foldline.jobs.passage_catalogue import _PASSAGES, _long, _passages
-from foldline.operators import adapters, candidates, chunking, distiller, metrics, pages, passages, structure, validation, verification
+from foldline.operators import adapters, candidates, chunking, distiller, metrics, pages, passages, segments, structure, validation, verification
 from foldline.sources.files import text_pages
 
 FLAT_KINDS = ("text", "Title", "table", "list_item", "image", "image_caption", "code_block", "odd")
@@ -169,7 +169,7 @@ def snapshot_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _passages(spark, sf_dir).select("doc_id", "section", F.col("passage").alias("block_no"), "n_tokens")
-    return passages.pack_passages(rows, 30, 60, 90).select("doc_id", *_long("section", "block_no", "passage"))
+    return segments.pack_passages(rows, 30, 60, 90).select("doc_id", *_long("section", "block_no", "passage"))
 
 
 def document_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.jobs.catalogue import _WS, _docs, _strip
+from foldline.jobs.catalogue import _WS, _docs, _strip, marked_up
+from foldline.jobs.passage_catalogue import _ANCHORS_WHOLE
 from foldline.operators import json_pages, lineage, segments, structure, vectors
-from foldline.sources.tables import kept
+from foldline.sources.tables import fresh_table, kept
 
 K = 10
 
@@ -156,9 +157,40 @@ def json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_rows(json_pages.listed_pages(kept(nested_payloads(_docs(spark, sf_dir)), "payloads")))
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment tree of the marked-up documents: their heading sections, and as passages their other blocks. A document's version is the digest of its text."""
+    docs = marked_up(_docs(spark, sf_dir).where("text IS NOT NULL"))
+    found = kept(structure.anchored(structure.blocks(docs)), "anchored")
+    rows = found.where("type <> 'heading'").select("doc_id", "section_path", F.col("pass_anchor").alias("anchor"), F.col("start_off").alias("start"), F.col("end_off").alias("end"), F.lit(1).alias("n_tokens"))
+    return segments.segment_tree(found, rows, docs.select("doc_id", F.md5("text").alias("version")))
+
+
+def segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _segments(spark, sf_dir)
+    return found.select("doc_id", "segment_id", "parent_id", "type", F.md5("section_path").alias("path_md5"), *[F.col(c).cast("long").alias(c) for c in ("start", "end", "ordinal")])
+
+
+def tree_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of each document and kind, and how many of them break the tree."""
+    tree = kept(_segments(spark, sf_dir), "tree")
+    bad = segments.tree_violations(tree).select("doc_id", "segment_id", F.lit(1).alias("bad")).distinct()
+    return tree.join(bad, ["doc_id", "segment_id"], "left").groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("n_bad"))
+
+
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers behind the gates, and whether each holds, for groups of five lines with 20 to 60 tokens as bounds; observed in the job that writes the passages."""
+    rows = line_groups(_docs(spark, sf_dir)).select(
+        F.sha2("id", 256).alias("segment_id"), F.lit("PASSAGE").alias("type"), F.col("section").cast("string").alias("parent_id"), F.col("section").cast("string").alias("section_path"),
+        F.col("id").alias("anchor"), "text", F.col("n_tokens").alias("token_count"),
+    )
+    facts = segments.write_gated(rows, fresh_table(spark, "gated"), least=20, most=60)
+    gates = segments.gate_report(facts)
+    return spark.createDataFrame([(*facts.values(), *gates.values())], ", ".join([f"{k} long" for k in facts] + [f"ok_{k} boolean" for k in gates]))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (nearest_exact, nearest_recall, retrieve_passages, retrieve_sections, text_lineage, split_blocks, passage_overlap, adapt_pages_flat, adapt_pages_tree, json_fragments)
+    for f in (nearest_exact, nearest_recall, retrieve_passages, retrieve_sections, text_lineage, split_blocks, passage_overlap, adapt_pages_flat, adapt_pages_tree, json_fragments, segment_tree, tree_checks, gate_report)
 }
 
 _E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -229,7 +261,33 @@ def _trimmed(c: str) -> str:
 
 _PAGED = f"""l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS raw, len(x) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
     t AS (SELECT doc_id, i, n, {_trimmed("raw || chr(10) || chr(10)")} AS x FROM l)"""
+
+
+def _hash(*parts: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(({x})::VARCHAR)::VARCHAR || ':' || ({x})::VARCHAR, '-')" for x in parts) + ")"
+
+
+_TREE = f"""{_ANCHORS_WHOLE},
+    d AS (SELECT doc_id, md5(text) AS version FROM v), x AS (SELECT s.*, b.start_off, b.end_off FROM s JOIN blocks b ON b.doc_id = s.doc_id AND b.block_idx = s.block_idx),
+    sec AS (SELECT x.doc_id, x.path, x.sec_anchor AS anchor, min(x.start_off) AS st, max(x.end_off) AS en, arg_min(h3.parent_idx, x.block_idx) FILTER (x.type = 'heading') AS parent_idx
+        FROM x LEFT JOIN h3 ON h3.doc_id = x.doc_id AND h3.block_idx = x.block_idx WHERE x.path <> 'root' GROUP BY 1, 2, 3),
+    seen AS (SELECT doc_id, 'root' AS path, substr(sha256(doc_id || 'root'), 1, 32) AS anchor, 0 AS st, (SELECT coalesce(max(end_off), 0) FROM x WHERE x.doc_id = d.doc_id) AS en, NULL::VARCHAR AS up FROM d
+        UNION ALL SELECT sec.doc_id, sec.path, anchor, st, en, coalesce(r.path, 'root') FROM sec LEFT JOIN r ON r.doc_id = sec.doc_id AND r.block_idx = sec.parent_idx),
+    q AS (SELECT seen.*, {_hash("seen.doc_id", "version", "'SECTION'", "path", "anchor", "st", "en")} AS id FROM seen JOIN d USING (doc_id)),
+    p AS (SELECT x.doc_id, path, substr(sha256(sec_anchor || type || ordinal), 1, 32) AS anchor, start_off AS st, end_off AS en, version FROM x JOIN d USING (doc_id) WHERE type <> 'heading'),
+    w AS (SELECT q.doc_id, q.id, u.id AS parent_id, 'SECTION' AS type, q.path, q.anchor, q.st, q.en FROM q LEFT JOIN q u ON u.doc_id = q.doc_id AND u.path = q.up
+        UNION ALL SELECT p.doc_id, {_hash("p.doc_id", "version", "'PASSAGE'", "p.path", "p.anchor", "p.st", "p.en")}, u.id, 'PASSAGE', p.path, p.anchor, p.st, p.en FROM p LEFT JOIN q u ON u.doc_id = p.doc_id AND u.path = p.path)"""
 SQL = {
+    "segment_tree": f"""
+        {_TREE} SELECT doc_id, id AS segment_id, parent_id, type, md5(path) AS path_md5, st::BIGINT AS start, en::BIGINT AS "end",
+            row_number() OVER (PARTITION BY doc_id, parent_id, type ORDER BY st, path, anchor, id) - 1 AS ordinal FROM w""",
+    "tree_checks": f"{_TREE} SELECT doc_id, type, count(*) AS n, 0::BIGINT AS n_bad FROM w GROUP BY 1, 2",
+    "gate_report": f"""
+        WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+        p AS (SELECT doc_id, i // 5 AS passage, string_agg(line, chr(10) ORDER BY i) AS text FROM l GROUP BY 1, 2),
+        c AS (SELECT count(*) AS passages, 0::BIGINT AS sections, count(*) FILTER (NOT regexp_matches(text, '[^{_WS}]')) AS empty, count(*) FILTER ({_tokens("text")} NOT BETWEEN 20 AND 60) AS out_of_bounds, count(*) AS normal,
+            count(*) FILTER (NOT regexp_matches(regexp_replace(text, '[{_WS}]+$', ''), '[.!?…:;|`}}\\])"''”’]$|^$')) AS mid_sentence, 0::BIGINT AS incomplete FROM p)
+        SELECT *, empty = 0 AS ok_no_empty, true AS ok_complete, normal = 0 OR (normal - out_of_bounds) / greatest(normal, 1) >= 0.95 AS ok_bounds, mid_sentence / greatest(normal, 1) <= 0.005 AS ok_sentences FROM c""",
     "nearest_exact": f"WITH {_HITS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= {K}",
     "nearest_recall": f"SELECT count(*) AS n_queries, {K}::BIGINT AS k, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
     "retrieve_passages": f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.functions.text import not_blank, strip
+from foldline.functions.text import not_blank, part, strip, text_chunks
 from foldline.sources.files import text_pages
 
 
@@ -45,6 +45,26 @@ def clamp_spans(rows: DataFrame) -> DataFrame:
     return rows.withColumn("passage", piece).withColumn("start_off", start).withColumn("end_off", end).where(not_blank(F.col("passage"))).drop("start", "end")
 
 
+def cut_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, start_off, end_off, passage): spans (doc_id, start, end) of texts (doc_id, text), clamped as by ``clamp_spans``; empty and blank ones are dropped.
+
+    The spans of a document meet in one row and join its text once; each is cut inside that row, at the cost of its own length.
+    """
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("_spans"))
+    rows = texts.select("doc_id", "text").join(spans, "doc_id").select("doc_id", F.struct(F.length("text").cast("long").alias("n"), text_chunks(F.col("text")).alias("chunks")).alias("_t"), "_spans")
+
+    def cut(t: Column):
+        def one(s: Column) -> Column:
+            start = F.greatest(F.lit(0).cast("long"), F.least(s["start"], t["n"]))
+            end = F.greatest(start, F.least(s["end"], t["n"]))
+            return F.struct(start.alias("start_off"), end.alias("end_off"), part(t["chunks"], start, end).alias("passage"))
+
+        return F.transform("_spans", one)
+
+    found = F.transform(F.array("_t"), cut)[0]
+    return rows.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*").where(not_blank(F.col("passage")))
+
+
 def duplicate_line_rate(docs: DataFrame, least: int = 8) -> DataFrame:
     """(doc_id, n_lines, duplicate_line_rate) over stripped lower-case lines of at least ``least`` characters."""
     rows = docs.select("doc_id", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.lower(strip(x))), lambda x: F.length(x) >= least).alias("x"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,26 +107,3 @@ def segment_lineage(old: DataFrame, new: DataFrame, keys: list[str], width: int
     best = F.max(F.struct("n_shared", F.negative("b").alias("b")))
     found = overlaps(old, new, keys, width).groupBy(*keys, F.col("a").alias("id")).agg(best.alias("_best"))
     return old.select(*keys, "id").join(found, [*keys, "id"], "left").select(*keys, "id", F.negative("_best.b").alias("successor"), F.col("_best.n_shared").alias("n_shared"))
-
-
-def pack_passages(blocks: DataFrame, least: int = 300, target: int = 600, most: int = 900) -> DataFrame:
-    """(doc_id, section, block_no, passage): blocks (doc_id, section, block_no, n_tokens) packed in order into passages of a section.
-
-    A passage ends once it has ``target`` tokens or the next block would take it over ``most``; a last one of under ``least``
-    joins the one before where both fit ``most``. A fold over the blocks of one section, which lie in one document.
-    """
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_no")
-        sums, at = [], []
-        for n in pdf["n_tokens"].tolist():
-            if not sums or sums[-1] >= target or sums[-1] + n > most:
-                sums.append(0)
-            sums[-1] += n
-            at.append(len(sums) - 1)
-        if len(sums) > 1 and sums[-1] < least and sums[-1] + sums[-2] <= most:
-            at = [min(k, len(sums) - 2) for k in at]
-        return pdf[["doc_id", "section", "block_no"]].assign(passage=at)
-
-    rows = blocks.select("doc_id", "section", F.col("block_no").cast("long").alias("block_no"), F.col("n_tokens").cast("long").alias("n_tokens"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy("doc_id", "section").applyInPandas(pack, f"doc_id {kinds['doc_id']}, section {kinds['section']}, block_no long, passage long")

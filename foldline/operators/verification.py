@@ -96,14 +96,14 @@ def check_flat_targets(targets: DataFrame, blocks: DataFrame, texts: DataFrame)
     bullets = lambda c: c.rlike(r"(?m)^[" + WS + r"*\-\x{2022}\x{F0A1}]")
     text, md = F.coalesce("text", F.lit("")), F.coalesce("markdown", F.lit(""))
     caption, contains = F.coalesce("caption", F.lit("")), F.coalesce("contains", F.lit(""))
-    rows = targets.join(blocks.select("doc_id", "no", F.col("type").alias("kind"), text.alias("text"), "asset"), "doc_id", "left").join(texts.select("doc_id", md.alias("markdown")), "doc_id", "left")
+    rows = targets.join(blocks.select("doc_id", "no", F.col("type").alias("kind"), text.alias("text"), "asset"), "doc_id", "left")
     stripped = strip(F.col("text"))
     single = F.min_by(F.when(_fits(stripped), ~F.coalesce("has_list", F.lit(False)) | bullets(stripped) | stripped.contains("\n")), F.when(_fits(stripped), F.col("no")))
     any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
-    found = rows.groupBy("doc_id", "target_no", "type", caption.alias("caption"), contains.alias("contains"), "markdown").agg(
+    found = rows.groupBy("doc_id", "target_no", "type", caption.alias("caption"), contains.alias("contains")).agg(
         F.coalesce(single, F.lit(False)).alias("single"), any_(F.col("asset") == "image").alias("image"), any_((F.col("asset") == "table_render") | (F.col("kind") == "table")).alias("table"),
         any_(F.col("text").contains(contains)).alias("holds"), any_(bullets(F.col("text"))).alias("bullets"),
-    )
+    ).join(texts.select("doc_id", md.alias("markdown")), "doc_id", "left")  # once for each target, after its blocks are one row
     m = F.coalesce("markdown", F.lit(""))
     passed = (
         F.when(F.col("type") == "single_block", F.col("single")).when(F.col("type") == "figure_linked", F.col("image") & m.contains(F.col("caption")))

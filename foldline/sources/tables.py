@@ -22,11 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def kept(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` as a Parquet table in the shared folder, which goes when the driver ends."""
-    spark = rows.sparkSession
+def fresh_table(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the driver ends."""
     parent = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    rows.write.parquet(f"{parent}/{name}")
-    return spark.read.schema(rows.schema).parquet(f"{parent}/{name}")
+    return f"{parent}/{name}"
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a Parquet table in the shared folder."""
+    path = fresh_table(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -77,6 +77,14 @@ def test_clamped_spans(spark):
 
 def test_block_spans_cover_the_whole_text(spark):
     text = "\n\n".join(f"paragraph {k} " + "x" * 90 for k in range(40))
-    got = chunking.clamp_spans(catalogue.block_spans(docs(spark, text, None, ""))).orderBy("start_off").collect()
+    found = docs(spark, text, None, "")
+    got = chunking.cut_spans(found, catalogue.block_spans(found)).orderBy("start_off").collect()
     assert len(got) == 40 and got[0]["start_off"] == 0 and got[-1]["end_off"] == len(text) > 2000
     assert "\n\n".join(r["passage"] for r in got) == text
+
+
+def test_spans_of_a_very_long_text(spark):
+    text = "".join(f"line {k} é😀\n\n" for k in range(40000))
+    found = docs(spark, text)
+    got = chunking.cut_spans(found, catalogue.block_spans(found)).orderBy("start_off").collect()
+    assert len(got) == 40000 and all(r["passage"] == text[r["start_off"] : r["end_off"]] for r in got)

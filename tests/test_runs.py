@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from foldline.operators import adapters, candidates, distiller, metrics, pages, passages, validation, verification
+from foldline.operators import adapters, candidates, distiller, metrics, pages, passages, segments, validation, verification
 from foldline.sources.files import glob_pattern, resolved_dir
 from foldline.sources.sinks import write_bundle
 
@@ -94,8 +94,8 @@ def test_passages_and_rankings(spark):
     changes = spark.createDataFrame([("added",), ("changed",), ("changed",), ("unchanged",)], "change string")
     assert rows(passages.churn_rates(changes), "n") == [(4, 0.25, 0.0, 0.5, 0.25)]
     blocks = spark.createDataFrame([(1, 0, k, n) for k, n in enumerate((250, 200, 200, 500, 400, 100))], "doc_id long, section int, block_no int, n_tokens int")
-    assert [r[3] for r in rows(passages.pack_passages(blocks), "block_no")] == [0, 0, 0, 1, 1, 2]
-    assert [r[3] for r in rows(passages.pack_passages(blocks.where("block_no < 4 OR block_no = 5")), "block_no")] == [0, 0, 0, 1, 1]
+    assert [r[3] for r in rows(segments.pack_passages(blocks), "block_no")] == [0, 0, 0, 1, 1, 2]
+    assert [r[3] for r in rows(segments.pack_passages(blocks.where("block_no < 4 OR block_no = 5")), "block_no")] == [0, 0, 0, 1, 1]
 
 
 def test_checks_of_documents(spark):
