@@ -36,7 +36,7 @@ def unit(vector: Column) -> Column:
     """Column: ``vector`` in double precision with length 1; null where it is null, without direction, or holds a null."""
     v = vector.cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when((norm > 0) & (norm < float("inf")), F.transform(v, lambda x: x / norm))
+    return F.get(F.transform(F.array(norm), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(v, lambda x: x / n))), F.lit(0))  # the norm once for each row
 
 
 def directed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -60,7 +60,7 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, *, lists: int
     Centroids come from the ``sample`` rows of least hash (k-means by cosine, at most ``rounds`` rounds). There are ``lists`` of them, by default the square root of the number of rows, and no more than
     ``most_lists`` or half the sample. Vectors of another length than most of the sample are left out, since no cosine is defined.
     """
-    rows = directed(vectors, id_col, vector_col)
+    rows = kept(directed(vectors, id_col, vector_col), "directed")
     picked = kept(rows.orderBy(F.xxhash64("id"), "id").limit(sample), "sample")
     dims = picked.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
