@@ -5,10 +5,9 @@ A sketch has ``bands * rows`` coordinates. In round i each shingle is hashed to
 bin is filled within twice that number of rounds, and the share of equal bins keeps the concentration bounds of
 independent hashing. Equal texts and sets are one class before banding. Documents that share a band are
 first compared with one hub of the band, the member that meets the most others in all its bands. What is still apart in
-a band is then searched exactly, without pairs of all members: each set is written as its difference from the
-centre of the band's largest component. Near copies of one text differ from it in few shingles, and two that are
-similar to each other but not to the centre must share some of these; a prefix filter on the
-differences finds them. Every link is confirmed on full shingle sets.
+a band is then searched exactly, without pairs of all members: each set is written as its difference from a
+centre, the shingles that most members of the group hold. Pages of one template differ from it in what is their own, which nobody else has; two
+that are similar share some of their differences, and a prefix filter, rarest shingles first, finds them. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -25,6 +24,8 @@ from foldline.llm._shared import small_batches, written
 
 #: Elements before one that are kept beside it, to report a pair at the first that it shares; a pair reported twice is only work.
 _BEFORE = 8
+#: Members of a group, about, whose elements make its centre.
+_PICKED = 128
 _SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
@@ -210,9 +211,9 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
 
 
 def _around(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(c, rep, label, apart): the members of each band that still has several labels, with the centre of its most common one.
+    """(c, rep, label): the members of each band that still has several labels, with the centre of its most common one.
 
-    Bands of two need nothing more: their members were compared. ``apart`` is whether the member has another label than the centre.
+    Bands of two need nothing more: their members were compared.
     """
     at = written(members.join(nodes, F.col("rep") == F.col("node")).select("band", "rep", "label", "meets"), "labelled")
     sizes = at.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -221,51 +222,76 @@ def _around(members: DataFrame, nodes: DataFrame) -> DataFrame:
     centre = at.groupBy("label").agg(F.max(F.struct("meets", F.negative("rep").alias("rep"))).alias("top"))
     centre = centre.select(F.col("label").alias("main"), F.negative("top.rep").alias("c"))
     open_ = written(open_.select("band", F.negative("most.label").alias("main")).join(centre, "main"), "open")
-    return at.join(open_, "band").select("c", "rep", "label", (F.col("label") != F.col("main")).alias("apart")).distinct()
+    return at.join(open_, "band").select("c", "rep", "label").distinct()
 
 
-def _differences(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(c, element, rep, label, seeks, gives, size, u, rest, before): for each member around a centre, the first elements of its difference from it.
+def _elements(rows: DataFrame) -> DataFrame:
+    """(c, rep, element) of rows (c, rep, set)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, rep, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                e = np.frombuffer(x.as_py(), np.int64)
+                yield pa.RecordBatch.from_pydict({"c": pa.array(np.full(len(e), c)), "rep": pa.array(np.full(len(e), rep)), "element": pa.array(e)})
+
+    return rows.select("c", "rep", "set").mapInArrow(run, "c long, rep long, element long")
+
+
+def _centres(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, centre): for each group the set of elements that most of some ``_PICKED`` of its members hold. Any set would do for right results; this one leaves small differences."""
+    size = around.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / _PICKED).alias("share"))
+    picked = written(around.join(size, "c").where(F.pmod(F.xxhash64("rep"), "share") == 0).select("c", "rep"), "picked")
+    held = _elements(picked.join(sets, F.col("rep") == F.col("doc_id"))).groupBy("c", "element").agg(F.count(F.lit(1)).alias("n"))
+    most = held.join(picked.groupBy("c").agg(F.count(F.lit(1)).alias("k")), "c").where("2 * n > k")
+    return written(most.groupBy("c").agg(F.array_sort(F.collect_list("element")).alias("centre")), "centres")
 
-    With D the symmetric difference of a set x and the centre c, and h = (1 - t) / (1 + t): x and y are similar if
-    |Dx - Dy| + |Dy - Dx| <= h (|x| + |y|), so they share at least (u(x) + u(y)) / 2 elements of Dx and Dy, where u(x) = |Dx| - h |x|.
-    If x is not similar to c this is one at least, and more than x's own u less h |x| / t. So of the elements
-    in a fixed order only those before the last ones that could make up that many need to be looked up (``seeks``, for members
-    apart from the centre) or entered (``gives``). ``rest`` is the number of elements after this one, ``before`` has up to
-    ``_BEFORE`` elements before it, ``size`` is |x|. Elements that c lacks come first: they are rarer.
-    """
-    t = percent / 100
-    h = (1 - t) / (1 + t)
 
+def _differences(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, rep, part, label, size, n, difference): the symmetric difference of each set of a member and the centre of its group, n elements; part tells the sets of a repeated id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                x, c = np.frombuffer(row["set_a"], np.uint64), np.frombuffer(row["set_b"], np.uint64)
-                d = np.concatenate([np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)])
-                n, u = len(d), len(d) - h * len(x)
-                seeks = n - max(1, int(np.ceil(u - h * len(x) / t - 1e-6))) + 1 if row["apart"] else 0
-                gives = n - max(1, int(np.floor((h * len(c) + u) / 2 - 1e-6)) + 1) + 1
-                k = min(n, max(seeks, gives, 0))
-                at, values = np.arange(k), d[:k].view(np.int64)
-                first = np.maximum(at - _BEFORE, 0)
-                ends = np.concatenate([[0], np.cumsum(at - first)])
-                before = values[np.arange(ends[-1]) + np.repeat(first - ends[:-1], at - first)]
-                yield pa.RecordBatch.from_pydict({
-                    "c": pa.array(np.full(k, row["b"])), "element": pa.array(values), "rep": pa.array(np.full(k, row["a"])), "label": pa.array(np.full(k, row["label"])),
-                    "seeks": pa.array(at < seeks), "gives": pa.array(at < gives), "size": pa.array(np.full(k, len(x)), pa.int32()), "u": pa.array(np.full(k, u)), "rest": pa.array(n - 1 - at, pa.int32()),
-                    "before": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(before, pa.int64())),
-                })
-
-    both = _with_sides(around.select(F.col("rep").alias("a"), F.col("c").alias("b"), "label", "apart"), sets, "set")
-    return both.mapInArrow(run, "c long, element long, rep long, label long, seeks boolean, gives boolean, size int, u double, rest int, before array<long>")
+            found, sizes = [], []
+            for x, c in zip(batch.column("set"), batch.column("centre"), strict=True):
+                members = np.frombuffer(x.as_py(), np.int64)
+                sizes.append(len(members))
+                found.append(np.setxor1d(members, c.values.to_numpy() if c.is_valid else np.zeros(0, np.int64), assume_unique=True))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in ("c", "rep", "part", "label")), pa.array(sizes, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                names=["c", "rep", "part", "label", "size", "n", "difference"],
+            )
+
+    rows = around.select("c", "rep", "label").join(sets, F.col("rep") == F.col("doc_id")).join(_centres(around, sets), "c", "left")
+    return rows.select("c", "rep", F.xxhash64("set").alias("part"), "label", "set", "centre").mapInArrow(run, "c long, rep long, part long, label long, size long, n long, difference array<long>")
 
 
 def _prefix_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one band with different labels that share enough of their differences from the centre; no similar pair is left out."""
-    found = written(_differences(written(_around(members, nodes), "around"), sets, percent), "differences")
-    side = lambda name, flag: found.where(flag).select("c", "element", *[F.col(x).alias(f"{x}_{name}") for x in ("rep", "label", "size", "u", "rest", "before")])
-    enough = 2 * (1 + F.least("rest_x", "rest_y")) >= F.col("u_x") + F.col("u_y") - 1e-6
-    sized = 100 * F.least("size_x", "size_y").cast("long") >= percent * F.greatest("size_x", "size_y").cast("long")
+    """Pairs (a, b) of one group with different labels; every similar pair is among them, or both are linked by way of a third.
+
+    With D the difference of a set x from the centre, h = (1 - t) / (1 + t) and u(x) = |Dx| - h |x|: x and y are similar just if |Dx - Dy| + |Dy - Dx| <= h (|x| + |y|), so
+    similar ones share at least (u(x) + u(y)) / 2 elements of their differences, and at least u(x) - h |x| / t. Where u(x) + u(y) <= 0 the two are similar whatever they share; all such are
+    similar to the member of least u too, so a star around it stands for them. All others share an element. Elements are ordered rarest first by the differences
+    of the group that hold them, those of one member alone before all others: they lead to nobody and are never dealt. Only elements
+    before the last ones that could make up what must be shared are looked up.
+    """
+    t = percent / 100
+    h = (1 - t) / (1 + t)
+    found = written(_differences(written(_around(members, nodes), "around"), sets), "differences").withColumn("u", F.col("n") - F.lit(h) * F.col("size"))
+    low = found.groupBy("c").agg(F.min(F.struct("u", "rep", "label")).alias("x"))
+    near = found.join(written(low, "least"), "c").where((F.col("u") + F.col("x.u") <= 1e-6) & (F.col("label") != F.col("x.label"))).select(F.col("rep").alias("a"), F.col("x.rep").alias("b"))
+    elements = found.select("c", "rep", "part", F.explode("difference").alias("element"))
+    shared = written(elements.groupBy("c", "element").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shared")
+    ordered = elements.join(shared, ["c", "element"]).groupBy("c", "rep", "part").agg(F.array_sort(F.collect_set(F.struct("held", "element"))).alias("e"))
+    must = F.greatest(F.lit(1), F.ceil(F.col("u") - F.lit(h / t) * F.col("size") - 1e-6))
+    seen = F.greatest(F.col("n") - must + 1 - (F.col("n") - F.size("e")), F.lit(0)).cast("int")  # elements of the member alone take the first places
+    facts = found.select("c", "rep", "part", "label", "size", "n", "u").join(ordered, ["c", "rep", "part"]).withColumn("seen", seen).where("seen > 0")
+    keys = written(facts.select("c", "rep", "label", "size", "u", F.size("e").alias("of"), F.transform(F.slice("e", F.lit(1), F.col("seen")), lambda x: x["element"]).alias("e")), "prefixes")
+    keys = keys.select("c", "rep", "label", "size", "u", "of", F.posexplode("e").alias("at", "element"), "e")
+    keys = keys.select("c", "element", "rep", "label", "size", "u", (F.col("of") - F.col("at")).alias("left"), F.slice("e", F.greatest(F.col("at") - _BEFORE + 1, F.lit(1)), F.least(F.col("at"), F.lit(_BEFORE))).alias("before"))
+    side = lambda name: keys.select("c", "element", *[F.col(x).alias(f"{x}_{name}") for x in ("rep", "label", "size", "u", "left", "before")])
+    total = F.col("u_x") + F.col("u_y")
+    enough = (total > 1e-6) & (2 * F.least("left_x", "left_y") >= total - 1e-6)
+    sized = 100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")
     fresh = ~F.arrays_overlap("before_x", "before_y")  # else the two have met at an element before this one
-    both = side("x", "seeks").join(side("y", "gives"), ["c", "element"]).where((F.col("label_x") != F.col("label_y")) & sized & enough & fresh)
-    return both.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    both = side("x").join(side("y"), ["c", "element"]).where((F.col("rep_x") < F.col("rep_y")) & (F.col("label_x") != F.col("label_y")) & sized & enough & fresh)
+    return both.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).union(near.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("foldline.llm.queries")
 import corpus_pipeline  # noqa: E402
+from foldline.llm import minhash  # noqa: E402
 from foldline.llm._shared import written  # noqa: E402
 from foldline.llm.exact_dedup import _pattern, exact_dedup  # noqa: E402
 from foldline.llm.line_dedup import line_dedup  # noqa: E402
@@ -92,6 +93,36 @@ def test_near_duplicates_lose_no_link(spark):
         assert len(got) == len(rows) and {r["doc_id"]: r["n_shingles"] for r in got if r["doc_id"] is not None} == {k: len(shingles(t)) for k, t in found.items()}
 
 
+def test_templated_pages_form_no_pairs_of_all(spark, monkeypatch):
+    """Pages of one template with as much of their own: compared pairs grow with their number; edits of a page, and chains of edits, are found all the same."""
+    r = random.Random(9)
+    template = [f"t{k}" for k in range(200)]
+    seen = {}
+
+    def spy(df, name):
+        out = written(df, name)
+        if name == "pairs":
+            seen["pairs"] = seen.get("pairs", 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "written", spy)
+    pairs = []
+    for n in (60, 120, 240):
+        seen.clear()
+        pages = [template + [f"p{k}x{j}" for j in range(66)] for k in range(n)]
+        for _ in range(n // 6):  # edits of pages and of edits
+            page = list(r.choice(pages))
+            for _ in range(2):
+                page[r.randrange(len(page))] = f"e{r.random()}"
+            pages.append(page)
+        found = {k: " ".join(p) for k, p in enumerate(pages)}
+        df = written(spark.createDataFrame(list(found.items()), "doc_id long, text string"), "docs")
+        got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(df).collect()}
+        assert got == components(found, 85)
+        pairs.append(seen["pairs"])
+    assert pairs[2] < 3 * pairs[1] < 9 * pairs[0] and pairs[2] < 20 * 280
+
+
 def test_base_scores(spark):
     found = texts(3, 60)
     docs = [[*words((t or "").lower()), None] for t in found]
