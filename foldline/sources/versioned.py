@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
 
+from foldline.operators.runs import row_digest
+
 _EXTRA = {"_seq": LongType(), "_deleted": BooleanType(), "_bucket": IntegerType()}
 
 
@@ -96,7 +98,9 @@ class VersionedTable:
             touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # no more than there are buckets
             old = self._rows(now, schema, touched).withColumn("_held", F.lit(True))
             columns = [*schema.names, *_EXTRA]
-            last = old.select(*columns, "_held").unionByName(new.select(*columns, "_held")).groupBy(self.key, "_bucket").agg(F.max_by(F.struct(*columns), F.struct("_seq", "_deleted", "_held", F.xxhash64(*schema.names))).alias("row"))
+            both = old.select(*columns, "_held").unionByName(new.select(*columns, "_held"))
+            newest = F.struct("_seq", "_deleted", "_held", row_digest(both.select(*schema.names)))
+            last = both.groupBy(self.key, "_bucket").agg(F.max_by(F.struct(*columns), newest).alias("row"))
             at = f"{self.path}/data/{uuid.uuid4().hex}"
             buckets = dict(now["buckets"]) if now else {}
             if touched:
@@ -105,7 +109,7 @@ class VersionedTable:
             made = {
                 "version": (now["version"] if now else 0) + 1, "batches": (now["batches"] if now else {}) | {writer: batch}, "n_buckets": n, "schema": json.loads(schema.json()), "buckets": buckets,
             }
-            while made["version"] in self.versions() and (newest := self.manifest()) is not None and newest["version"] < made["version"]:
+            while made["version"] in self.versions() and (held := self.manifest()) is not None and held["version"] < made["version"]:
                 made["version"] += 1  # a broken manifest keeps its number
             if self._publish(made):
                 return made["version"]
