@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foldline.jobs.catalogue import _WS, _docs, _strip, marked_up
 from foldline.jobs.passage_catalogue import _ANCHORS_WHOLE
 from foldline.operators import json_pages, lineage, segments, structure, vectors
+from foldline.sources import payloads
 from foldline.sources.tables import fresh_table, kept
 
 K = 10
@@ -157,6 +158,26 @@ def json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_rows(json_pages.listed_pages(kept(nested_payloads(_docs(spark, sf_dir)), "payloads")))
 
 
+def run_outputs(docs: DataFrame) -> DataFrame:
+    """(run, path, length, content): the files that an engine might have left for each document: a JSON without pages, one with, and Markdown; every third document has no JSON with pages."""
+    lines = F.split("text", "\n", -1)
+    pages = F.to_json(F.transform(lines, lambda x: F.struct(x.alias("text"))))
+    files = {"a.json": F.lit('{"pages": 1}'), "b_middle.json": F.when(F.col("doc_id") % 3 != 0, pages), "c_meta.json": F.concat(F.lit('["'), F.repeat(F.lit("x"), F.length("text")), F.lit('"]')), "d.md": F.lit("  "), "e.md": F.col("text")}
+    each = F.array(*[F.struct(F.lit(k).alias("path"), v.alias("content")) for k, v in files.items()])
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("run"), F.explode(each).alias("f")).where("f.content IS NOT NULL AND (f.path <> 'c_meta.json' OR run % 3 = 1)")
+    return rows.select("run", "f.path", F.length("f.content").cast("long").alias("length"), "f.content")
+
+
+def payload_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = kept(run_outputs(_docs(spark, sf_dir)).drop("content"), "files")
+    return payloads.largest_json(files).withColumnRenamed("path", "largest").join(payloads.preferred_json(files).withColumnRenamed("path", "preferred"), "run", "full_outer").select(F.col("run").alias("doc_id"), "largest", "preferred")
+
+
+def loaded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = payloads.loaded_pages(kept(run_outputs(_docs(spark, sf_dir)), "files"))
+    return found.select(F.col("run").alias("doc_id"), F.col("page_idx").cast("long").alias("page_idx"), F.md5("text").alias("text_md5"))
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment tree of the marked-up documents: their heading sections, and as passages their other blocks. A document's version is the digest of its text."""
     docs = marked_up(_docs(spark, sf_dir).where("text IS NOT NULL"))
@@ -190,7 +211,7 @@ def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (nearest_exact, nearest_recall, retrieve_passages, retrieve_sections, text_lineage, split_blocks, passage_overlap, adapt_pages_flat, adapt_pages_tree, json_fragments, segment_tree, tree_checks, gate_report)
+    for f in (nearest_exact, nearest_recall, retrieve_passages, retrieve_sections, text_lineage, split_blocks, passage_overlap, adapt_pages_flat, adapt_pages_tree, json_fragments, segment_tree, tree_checks, gate_report, payload_picks, loaded_pages)
 }
 
 _E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -288,6 +309,14 @@ SQL = {
         c AS (SELECT count(*) AS passages, 0::BIGINT AS sections, count(*) FILTER (NOT regexp_matches(text, '[^{_WS}]')) AS empty, count(*) FILTER ({_tokens("text")} NOT BETWEEN 20 AND 60) AS out_of_bounds, count(*) AS normal,
             count(*) FILTER (NOT regexp_matches(regexp_replace(text, '[{_WS}]+$', ''), '[.!?…:;|`}}\\])"''”’]$|^$')) AS mid_sentence, 0::BIGINT AS incomplete FROM p)
         SELECT *, empty = 0 AS ok_no_empty, true AS ok_complete, normal = 0 OR (normal - out_of_bounds) / greatest(normal, 1) >= 0.95 AS ok_bounds, mid_sentence / greatest(normal, 1) <= 0.005 AS ok_sentences FROM c""",
+    "payload_picks": """
+        WITH f AS (SELECT doc_id, length(text) AS n, len(string_split(text, chr(10))) AS k, len(to_json(list_transform(string_split(text, chr(10)), lambda x: {'text': x}))::VARCHAR) AS j FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND j >= 12 THEN 'b_middle.json' ELSE 'a.json' END AS largest, CASE WHEN doc_id % 3 <> 0 THEN 'b_middle.json' WHEN doc_id % 3 = 1 AND n + 4 > 12 THEN 'c_meta.json' ELSE 'a.json' END AS preferred FROM f""",
+    "loaded_pages": f"""
+        WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 2))
+        SELECT doc_id, i AS page_idx, md5({_strip("raw")}) AS text_md5 FROM l
+        UNION ALL SELECT doc_id, i, md5({_strip("raw")}) FROM (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 1))
+        UNION ALL SELECT doc_id, 0, md5(text) FROM documents WHERE doc_id % 3 = 0 AND regexp_matches(text, '[^{_WS}]')""",
     "nearest_exact": f"WITH {_HITS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= {K}",
     "nearest_recall": f"SELECT count(*) AS n_queries, {K}::BIGINT AS k, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
     "retrieve_passages": f"""

@@ -58,14 +58,15 @@ def select_pages(candidates: DataFrame, force: str | None = None) -> DataFrame:
 
 
 def selection_log(candidates: DataFrame, selected: DataFrame) -> DataFrame:
-    """(doc_id, page_idx, selected_engine, reason, scores, statuses): why each page's engine was selected, with maps by engine.
+    """(doc_id, page_idx, selected_engine, reason, scores, statuses, signals): why each page's engine was selected, with maps by engine; signals are all other columns of ``candidates``.
 
     Pages without a selection have the reason ``unknown``.
     """
+    signals = F.struct(*[c for c in candidates.columns if c not in ("doc_id", "page_idx", "engine", "status", "text")]).alias("signals")
     by = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", value))))
-    found = candidates.withColumn("_score", score()).groupBy("doc_id", "page_idx").agg(by("_score").alias("scores"), by("status").alias("statuses"))
+    found = candidates.withColumn("_score", score()).groupBy("doc_id", "page_idx").agg(by("_score").alias("scores"), by("status").alias("statuses"), by(signals).alias("signals"))
     joined = found.join(selected, ["doc_id", "page_idx"], "left")
-    return joined.select("doc_id", "page_idx", "selected_engine", F.coalesce("reason", F.lit("unknown")).alias("reason"), "scores", "statuses")
+    return joined.select("doc_id", "page_idx", "selected_engine", F.coalesce("reason", F.lit("unknown")).alias("reason"), "scores", "statuses", "signals")
 
 
 def engine_counts(selected: DataFrame) -> DataFrame:
@@ -73,6 +74,18 @@ def engine_counts(selected: DataFrame) -> DataFrame:
     return selected.where("selected_engine IS NOT NULL").groupBy("doc_id", "selected_engine").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+def engine_runs(runs: DataFrame) -> DataFrame:
+    """(doc_id, engine_runs): engine and status of each run (doc_id, engine, status, started) in the order they started, as an array of structs."""
+    ordered = F.array_sort(F.collect_list(F.struct("started", "engine", "status")))
+    return runs.groupBy("doc_id").agg(F.transform(ordered, lambda r: F.struct(r["engine"].alias("engine"), r["status"].alias("status"))).alias("engine_runs"))
+
+
+def with_extractor(chunks: DataFrame, selected: DataFrame, default: str) -> DataFrame:
+    """``chunks`` (doc_id, page_idx, ...) with extractor: the engine selected for their page, else ``default``."""
+    engines = selected.select("doc_id", "page_idx", F.col("selected_engine").alias("extractor"))
+    return chunks.join(engines, ["doc_id", "page_idx"], "left").withColumn("extractor", F.coalesce("extractor", F.lit(default)))
+
+
 def block_signals(blocks: DataFrame, *keys: str) -> DataFrame:
     """Signals of each page from its blocks (doc_id, page_idx, engine, type, text, has_coords, asset); ``keys`` default to doc_id, page_idx, engine.
 
