@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldline.functions.text import WS, strip
+from foldline.operators.json_pages import children, json_roots
+from foldline.sources.tables import kept
 
 #: Types of the checks.
 CHECKS = ("single_block", "figure_linked", "table_linked", "code_merged", "has_list")
@@ -18,32 +16,24 @@ CHECKS = ("single_block", "figure_linked", "table_linked", "code_merged", "has_l
 def tree_blocks(payloads: DataFrame) -> DataFrame:
     """(doc_id, no, last, block_type, html) of all objects of each JSON payload (doc_id, payload) in pre-order; ``last`` is the number of the last one below.
 
-    A small reader inside the task; broken JSON and null give no rows.
+    Objects are found in lists and in lists of ``children``, level by level over all payloads, each with its path, which sorts into pre-order. A type or html that is no text is
+    null; broken JSON and null give no rows. doc_id is unique.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, payload in zip(batch["doc_id"], batch["payload"], strict=True):
-                try:
-                    todo = [(json.loads(payload), None)]
-                except (TypeError, ValueError):
-                    continue
-                mine: list[list] = []
-                while todo:  # a node, or the number of one whose descendants are all numbered
-                    node, done = todo.pop()
-                    if done is not None:
-                        mine[done][2] = len(mine) - 1
-                        continue
-                    if isinstance(node, list):
-                        todo += [(x, None) for x in reversed(node)]
-                    elif isinstance(node, dict):
-                        mine.append([doc_id, len(mine), None, node.get("block_type"), node.get("html")])
-                        todo.append((None, len(mine) - 1))
-                        todo += [(x, None) for x in reversed(node.get("children") or [])]
-                out += mine
-            yield pd.DataFrame(out, columns=["doc_id", "no", "last", "block_type", "html"])
-
-    return payloads.select("doc_id", "payload").mapInPandas(run, "doc_id long, no int, last int, block_type string, html string")
+    level = json_roots(payloads, "payload", "doc_id").withColumn("path", F.array().cast("array<int>"))
+    found = None
+    text = lambda name: F.when(F.schema_of_variant(F.col(f"f.{name}")) == "STRING", F.try_variant_get(F.col(f"f.{name}"), "$", "string")).alias(name)
+    while found is None or not level.isEmpty():
+        level = kept(level.where("kind IN ('object', 'array')"), "level")
+        objects = level.where("kind = 'object'")
+        here = objects.withColumn("f", F.from_json("raw", "struct<block_type:variant,html:variant>")).select("doc_id", "path", text("block_type"), text("html"))
+        found = here if found is None else found.unionByName(here)
+        lists = level.where("kind = 'array'").select("doc_id", "path", "kind", "raw").unionByName(children(objects, "doc_id", "path").where("key = 'children' AND kind = 'array'").select("doc_id", "path", "kind", "raw"))
+        level = kept(children(lists, "doc_id", "path").select("doc_id", "kind", "raw", F.concat("path", F.array("pos")).alias("path")), "items")
+    above = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda k: F.slice("path", F.lit(1), k))
+    below = found.where(F.size("path") > 0).select("doc_id", F.explode(above).alias("path")).groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("below"))
+    no = (F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1).alias("no")
+    rows = found.join(below, ["doc_id", "path"], "left").select("doc_id", no, F.coalesce("below", F.lit(0)).cast("int").alias("below"), "block_type", "html")
+    return rows.select("doc_id", "no", (F.col("no") + F.col("below")).alias("last"), "block_type", "html")
 
 
 def _fits(text: Column) -> Column:

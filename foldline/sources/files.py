@@ -24,7 +24,7 @@ def glob_pattern(glob: str) -> str:
         inside = piece[1:-1].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
         return f"(?!/)[{'^' + inside[1:] if inside[0] == '!' else inside.replace('^', chr(92) + '^')}]"
 
-    return rf"(^|/){''.join(part(x) for x in re.findall(r'[[]!?[^]]+[]]|.', glob.strip('/')))}\z"
+    return rf"(^|/){''.join(part(x) for x in re.findall(r'\[!?[^\]]+\]|.', glob.strip('/')))}\z"
 
 
 def matches(path: Column, include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = ()) -> Column:
