@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldline.jobs.catalogue import _WS, _docs, _strip, marked_up
 from foldline.jobs.passage_catalogue import _ANCHORS_WHOLE
-from foldline.operators import json_pages, lineage, segments, structure, vectors
+from foldline.operators import json_pages, lineage, segments, structure, validation, vectors
 from foldline.sources import payloads
 from foldline.sources.tables import fresh_table, kept
 
@@ -209,9 +209,19 @@ def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(*facts.values(), *gates.values())], ", ".join([f"{k} long" for k in facts] + [f"ok_{k} boolean" for k in gates]))
 
 
+def output_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a parser would leave them: by their ids, some of an unsupported family, some whose pipeline failed, some of white space only; with the anchors that the rest have."""
+    n = F.col("doc_id")
+    docs = marked_up(_docs(spark, sf_dir).where("text IS NOT NULL")).withColumn("source", F.when(n % 13 == 0, "").otherwise(F.col("text")))
+    docs = docs.withColumn("text", F.when((n % 13 == 0) | (n % 11 == 0) | (n % 7 == 0), "").when(n % 5 == 0, "\u2003 \n\t").otherwise(F.col("text")))
+    family, pipeline = F.when(n % 11 == 0, "unsupported").otherwise("markdown"), F.when(n % 7 == 0, "failed").otherwise("ok")
+    states = docs.select("doc_id", validation.output_state(family, F.col("source"), F.col("text"), pipeline).alias("s")).select("doc_id", "s.*")
+    return states.join(validation.anchor_completeness(docs, structure.anchored(structure.blocks(docs))), "doc_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (nearest_exact, nearest_recall, retrieve_passages, retrieve_sections, text_lineage, split_blocks, passage_overlap, adapt_pages_flat, adapt_pages_tree, json_fragments, segment_tree, tree_checks, gate_report, payload_picks, loaded_pages)
+    for f in (nearest_exact, nearest_recall, retrieve_passages, retrieve_sections, text_lineage, split_blocks, passage_overlap, adapt_pages_flat, adapt_pages_tree, json_fragments, segment_tree, tree_checks, gate_report, payload_picks, loaded_pages, output_states)
 }
 
 _E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -309,6 +319,10 @@ SQL = {
         c AS (SELECT count(*) AS passages, 0::BIGINT AS sections, count(*) FILTER (NOT regexp_matches(text, '[^{_WS}]')) AS empty, count(*) FILTER ({_tokens("text")} NOT BETWEEN 20 AND 60) AS out_of_bounds, count(*) AS normal,
             count(*) FILTER (NOT regexp_matches(regexp_replace(text, '[{_WS}]+$', ''), '[.!?…:;|`}}\\])"''”’]$|^$')) AS mid_sentence, 0::BIGINT AS incomplete FROM p)
         SELECT *, empty = 0 AS ok_no_empty, true AS ok_complete, normal = 0 OR (normal - out_of_bounds) / greatest(normal, 1) >= 0.95 AS ok_bounds, mid_sentence / greatest(normal, 1) <= 0.005 AS ok_sentences FROM c""",
+    "output_states": """
+        WITH d AS (SELECT doc_id, doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 0 AS bare FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, NOT bare AS has_textual_content, bare AS degraded_output, CASE WHEN doc_id % 7 = 0 THEN 'pdf_pipeline_failed' WHEN doc_id % 11 = 0 THEN 'unsupported_content_type' WHEN doc_id % 13 = 0 THEN 'empty_input'
+            WHEN doc_id % 5 = 0 THEN 'no_textual_content' END AS degraded_reason, CASE WHEN bare THEN 'document_only' ELSE 'full' END AS anchor_completeness FROM d""",
     "payload_picks": """
         WITH f AS (SELECT doc_id, length(text) AS n, len(string_split(text, chr(10))) AS k, len(to_json(list_transform(string_split(text, chr(10)), lambda x: {'text': x}))::VARCHAR) AS j FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND j >= 12 THEN 'b_middle.json' ELSE 'a.json' END AS largest, CASE WHEN doc_id % 3 <> 0 THEN 'b_middle.json' WHEN doc_id % 3 = 1 AND n + 4 > 12 THEN 'c_meta.json' ELSE 'a.json' END AS preferred FROM f""",

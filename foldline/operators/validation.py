@@ -42,3 +42,22 @@ def split_valid(rows: DataFrame, violations: Column) -> tuple[DataFrame, DataFra
     """Rows without violations, and those with some, in a column ``violations``."""
     judged = rows.withColumn("violations", violations)
     return judged.where(F.size("violations") == 0).drop("violations"), judged.where(F.size("violations") > 0)
+
+
+def output_state(family: Column, source: Column, text: Column, pipeline: Column | None = None) -> Column:
+    """Column: (has_textual_content, degraded_output, degraded_reason) of a parsed document, from its content family, the raw input, its canonical text, and what became of the pipeline that should have read it.
+
+    A document with any text is not degraded. Else the reason is the first that holds: a pipeline that was ``unavailable`` or ``failed``, an unsupported family, an input that is null or empty, no text in it.
+    """
+    filled = F.coalesce(text, F.lit("")).rlike(rf"[^{WS}]")
+    reason = F.when(family == "unsupported", "unsupported_content_type").when(F.coalesce(source, F.lit("")) == "", "empty_input").otherwise("no_textual_content")
+    if pipeline is not None:
+        reason = F.when(pipeline == "unavailable", "pdf_pipeline_unavailable").when(pipeline == "failed", "pdf_pipeline_failed").otherwise(reason)
+    return F.struct(filled.alias("has_textual_content"), (~filled).alias("degraded_output"), F.when(~filled, reason).alias("degraded_reason"))
+
+
+def anchor_completeness(docs: DataFrame, anchored: DataFrame) -> DataFrame:
+    """(doc_id, anchor_completeness): ``full`` where every block of ``structure.anchored`` has the anchor of its section and, if it is no heading, one of its own; ``document_only`` for others and documents without blocks."""
+    bare = F.col("sec_anchor").isNull() | ((F.col("type") != "heading") & F.col("pass_anchor").isNull())
+    found = anchored.groupBy("doc_id").agg((~F.max(bare)).alias("_full"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.when(F.col("_full"), "full").otherwise("document_only").alias("anchor_completeness"))

@@ -78,3 +78,9 @@ def high_water_mark(rows: DataFrame) -> datetime | None:
 def text_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, page_idx, text): pages of ``text`` split at form feeds."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\f", -1)).alias("page_idx", "text"))
+
+
+def pdf_documents(files: DataFrame) -> DataFrame:
+    """(doc_id, path, content): the PDF files among (path, content), named by the digest of their bytes; equal files are one document, at the first path."""
+    rows = files.where(F.lower("path").endswith(".pdf")).withColumn("doc_id", F.concat(F.lit("pdf_"), F.substring(F.sha2("content", 256), 1, 16)))
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("path", "content"), "path").alias("f")).select("doc_id", "f.path", "f.content")

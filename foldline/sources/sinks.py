@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,8 @@ def write_bundle(tables: dict[str, DataFrame], path: str, run: str, facts: dict[
     row = spark.range(1).select(F.lit(run).alias("run_id"), *[F.lit(v).alias(k) for k, v in sorted((facts or {}).items())], *[F.lit(n).alias(f"{name}_rows") for name, n in counts.items()])
     write_json_lines(row, f"{path}/manifest", ["run_id"])
     return row
+
+
+def write_header(spark: SparkSession, columns: list[str], path: str) -> None:
+    """Write a CSV of no rows with the header of ``columns``, for people to fill in."""
+    spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns)).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)

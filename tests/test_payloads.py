@@ -2,8 +2,12 @@
 
 import json
 
-from foldline.operators import candidates
+from pyspark.sql import functions as F
+
+from foldline.operators import candidates, validation
 from foldline.sources import payloads
+from foldline.sources.files import pdf_documents
+from foldline.sources.sinks import write_header
 
 FILES = [
     ("r1", "r1/x_meta.json", "m" * 99), ("r1", "r1/a.json", "[]"), ("r1", "r1/b.json", '[{"text": "page one"}, "two"]'), ("r1", "r1/z_content_list.json", "[1]"), ("r1", "r1/y_middle.json", "x" * 50), ("r1", "r1/n.md", "unused"),
@@ -36,3 +40,18 @@ def test_runs_and_extractors(spark):
     chunks = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "z")], "doc_id int, page_idx int, text string")
     selected = spark.createDataFrame([(1, 0, "marker"), (1, 1, None)], "doc_id int, page_idx int, selected_engine string")
     assert {r["text"]: r["extractor"] for r in candidates.with_extractor(chunks, selected, "variant").collect()} == {"x": "marker", "y": "variant", "z": "variant"}
+
+
+def test_output_states(spark):
+    rows = [(1, "markdown", "x", "x", None), (2, "unsupported", "x", "", "ok"), (3, "plain", None, None, "ok"), (4, "plain", " ", "\u2003", "ok"), (5, "unsupported", "", "", "failed"), (6, None, "", "", "unavailable"), (7, "unsupported", "x", "some text", "failed")]
+    df = spark.createDataFrame(rows, "id int, family string, source string, text string, pipeline string")
+    got = {r["id"]: (r["s"]["has_textual_content"], r["s"]["degraded_reason"]) for r in df.select("id", validation.output_state(*map(F.col, ("family", "source", "text", "pipeline"))).alias("s")).collect()}
+    assert got == {1: (True, None), 2: (False, "unsupported_content_type"), 3: (False, "empty_input"), 4: (False, "no_textual_content"), 5: (False, "pdf_pipeline_failed"), 6: (False, "pdf_pipeline_unavailable"), 7: (True, None)}
+
+
+def test_pdf_documents_and_headers(spark, tmp_path):
+    files = spark.createDataFrame([("b/x.PDF", b"one"), ("a/y.pdf", b"one"), ("z.pdf", b"two"), ("z.txt", b"two")], "path string, content binary")
+    got = {r["path"]: r["doc_id"] for r in pdf_documents(files).collect()}
+    assert got == {"a/y.pdf": "pdf_7692c3ad3540bb80", "z.pdf": "pdf_3fc4ccfe745870e2"}
+    write_header(spark, ["page_index", "winner", "notes"], f"{tmp_path}/review")
+    assert spark.read.text(f"{tmp_path}/review").collect()[0][0] == "page_index,winner,notes"
