@@ -12,6 +12,9 @@ from foldline.sources.tables import kept
 #: Types of the checks.
 CHECKS = ("single_block", "figure_linked", "table_linked", "code_merged", "has_list")
 
+#: Numbers of blocks of one bin, in which groups meet what lies in them.
+_BIN = 64
+
 
 def tree_blocks(payloads: DataFrame) -> DataFrame:
     """(doc_id, no, last, block_type, html) of all objects of each JSON payload (doc_id, payload) in pre-order; ``last`` is the number of the last one below.
@@ -58,7 +61,10 @@ def check_tree_targets(targets: DataFrame, blocks: DataFrame, texts: DataFrame)
     below = lambda *types: F.coalesce(F.min(F.when(F.col("block_type").isin(*types), F.col("no"))).over(at) <= F.col("last"), F.lit(False))
     html = F.coalesce("html", F.lit(""))
     rows = blocks.select("doc_id", "no", "last", F.coalesce("block_type", F.lit("")).alias("block_type"), html.alias("html"), below("List").alias("lists"), below("Code", "Preformatted").alias("codes"))
-    inner = rows.alias("g").where("block_type IN ('Figure', 'FigureGroup', 'TableGroup')").join(rows.alias("c"), F.expr("g.doc_id = c.doc_id AND c.no BETWEEN g.no AND g.last AND (c.block_type = 'Caption' OR g.block_type = 'TableGroup')"))
+    bin_ = lambda c: F.floor(F.col(c) / _BIN)
+    groups = rows.where("block_type IN ('Figure', 'FigureGroup', 'TableGroup')").withColumn("_bin", F.explode(F.sequence(bin_("no"), bin_("last"))))
+    held = rows.select("doc_id", "no", "html", "block_type", bin_("no").alias("_bin"))  # each block lies in one bin, so a group meets it once
+    inner = groups.alias("g").join(held.alias("c"), F.expr("g.doc_id = c.doc_id AND g._bin = c._bin AND c.no BETWEEN g.no AND g.last AND (c.block_type = 'Caption' OR g.block_type = 'TableGroup')"))
     under = inner.groupBy("g.doc_id", "g.no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c.no", "c.html"))), lambda s: s["html"]), "").alias("under"))
     rows = rows.join(under, ["doc_id", "no"], "left").withColumn("under", F.concat("html", F.coalesce("under", F.lit(""))))
     md = F.coalesce("markdown", F.lit(""))
