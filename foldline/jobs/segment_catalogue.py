@@ -147,15 +147,15 @@ def _page_rows(found: DataFrame, *more: str) -> DataFrame:
 
 
 def adapt_pages_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _page_rows(json_pages.block_pages(kept(block_payloads(_docs(spark, sf_dir)), "payloads")), "width", "height")
+    return _page_rows(json_pages.block_pages(block_payloads(_docs(spark, sf_dir))), "width", "height")
 
 
 def adapt_pages_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _page_rows(json_pages.block_pages(kept(page_tree_payloads(_docs(spark, sf_dir)), "payloads")), "width", "height")
+    return _page_rows(json_pages.block_pages(page_tree_payloads(_docs(spark, sf_dir))), "width", "height")
 
 
 def json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _page_rows(json_pages.listed_pages(kept(nested_payloads(_docs(spark, sf_dir)), "payloads")))
+    return _page_rows(json_pages.listed_pages(nested_payloads(_docs(spark, sf_dir))))
 
 
 def run_outputs(docs: DataFrame) -> DataFrame:

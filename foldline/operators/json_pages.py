@@ -58,8 +58,8 @@ def walk(roots: DataFrame, *keys: str) -> DataFrame:
 
 
 def _ordered(roots: DataFrame, *keys: str) -> DataFrame:
-    """(keys, place, text): the texts that count, at places that sort into their order."""
-    level = kept(roots.select(*keys, F.array().cast("array<int>").alias("place"), "kind", "raw"), "level")
+    """(keys, place, text): the texts that count, at places that sort into their order; ``roots`` is a written table."""
+    level = roots.select(*keys, F.array().cast("array<int>").alias("place"), "kind", "raw")
     found = level.where("kind = 'string'").select(*keys, "place", F.col("raw").alias("text"))
     while not (holders := level.where("kind IN ('object', 'array')")).isEmpty():
         below = children(holders.withColumn("_in", F.col("kind")), *keys, "place", "_in")
@@ -78,6 +78,7 @@ def text_fragments(roots: DataFrame, *keys: str) -> DataFrame:
     An object's own texts come first, in the order of ``PREFERRED``, then what its members and items hold, in the order of the JSON. Texts are stripped and blank ones go; more
     than one empty line in a row becomes one. A root without texts has an empty one.
     """
+    roots = kept(roots, "roots")
     rows = _ordered(roots, *keys).select(*keys, "place", strip(F.col("text")).alias("text")).where("text <> ''")
     joined = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"))
     whole = strip(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n{3,}", "\n\n"))
@@ -92,7 +93,7 @@ def listed_pages(payloads: DataFrame) -> DataFrame:
     roots = kept(json_roots(payloads, "payload", "doc_id"), "roots")
     info = children(roots.where("kind = 'object'"), "doc_id").where("key = 'pdf_info' AND kind = 'array'").select("doc_id", "kind", "raw")
     pages = children(roots.where("kind = 'array'").unionByName(info), "doc_id").select("doc_id", F.col("pos").alias("page_idx"), "kind", "raw")
-    return text_fragments(kept(pages, "pages"), "doc_id", "page_idx")
+    return text_fragments(pages, "doc_id", "page_idx")
 
 
 def code_point(n: Column) -> Column:

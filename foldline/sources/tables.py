@@ -33,5 +33,5 @@ def fresh_table(spark: SparkSession, name: str) -> str:
 def kept(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` as a Parquet table in the shared folder."""
     path = fresh_table(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
