@@ -27,8 +27,9 @@ def _kind(v: Column) -> Column:
 def json_roots(payloads: DataFrame, json_col: str, *keys: str) -> DataFrame:
     """(keys, kind, raw): the value that each payload is. Null, broken JSON and objects that repeat a key give no row."""
     whole = F.concat(F.lit("["), F.col(json_col), F.lit("]"))
-    read = payloads.select(*keys, F.from_json(whole, "array<string>").alias("_s"), F.from_json(whole, "array<variant>").alias("_v")).where("size(_s) = 1 AND size(_v) = 1")
-    return read.select(*keys, _kind(F.col("_v")[0]).alias("kind"), F.col("_s")[0].alias("raw"))
+    both = lambda w: F.struct(F.from_json(w, "array<string>").alias("s"), F.from_json(w, "array<variant>").alias("v"))
+    read = payloads.select(*keys, F.explode(F.transform(F.array(whole), both)).alias("_x")).where("size(_x.s) = 1 AND size(_x.v) = 1")  # a generator, so that a payload is made and read once
+    return read.select(*keys, _kind(F.col("_x.v")[0]).alias("kind"), F.col("_x.s")[0].alias("raw"))
 
 
 def children(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -36,7 +37,8 @@ def children(nodes: DataFrame, *keys: str) -> DataFrame:
     is_object = F.col("kind") == "object"
     texts, values = F.from_json("raw", "map<string,string>"), F.from_json("raw", "map<string,variant>")
     items, things = F.from_json("raw", "array<string>"), F.from_json("raw", "array<variant>")
-    both = F.when(is_object, F.arrays_zip(F.map_keys(texts).alias("key"), F.map_values(texts).alias("raw"), F.map_values(values).alias("v")))
+    entries = F.transform(F.arrays_zip(F.map_entries(texts).alias("e"), F.map_values(values).alias("v")), lambda x: F.struct(x["e"]["key"].alias("key"), x["e"]["value"].alias("raw"), x["v"].alias("v")))
+    both = F.when(is_object, entries)
     both = both.otherwise(F.arrays_zip(F.transform(items, lambda _: F.lit(None).cast("string")).alias("key"), items.alias("raw"), things.alias("v")))
     rows = nodes.where(F.col("kind").isin("object", "array")).select(*keys, F.posexplode(both).alias("pos", "x"))
     return rows.select(*keys, "pos", "x.key", _kind(F.col("x.v")).alias("kind"), "x.raw")
