@@ -93,13 +93,13 @@ def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     state = digest_state(spark, path, checkpoint, id_col=id_col, text_col=text_col)
     docs = _digested(spark.read.parquet(path), id_col, text_col)
     hits = written(state.where("group_size > 1"), "hits")
-    # copies meet in the partial aggregation, so a hot text is one row for each task
-    texts = docs.groupBy("digest", "_text").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    counted = docs.select("digest", "_text", F.col("doc_id").alias("least"), F.lit(1).cast("long").alias("n"))
     earlier = _earlier_texts(spark, hits, path, id_col, text_col)
     if earlier is not None:
-        old = earlier.select("digest", "_text", F.lit(None).cast("long").alias("least"), F.lit(0).cast("long").alias("n"))
-        texts = texts.unionByName(old).groupBy("digest", "_text").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
-    checked = texts.join(hits, "digest").select("digest", F.md5("_text").alias("_other"), "least", "n", "keep_id", "group_size")
+        counted = counted.unionByName(earlier.select("digest", "_text", F.lit(None).cast("long").alias("least"), F.lit(0).cast("long").alias("n")))
+    # copies meet in the partial aggregation, so a hot text is one row for each task; beyond this one exchange a short name stands for the text
+    texts = counted.groupBy("digest", "_text").agg(F.min("least").alias("least"), F.sum("n").alias("n")).select("digest", F.md5("_text").alias("_other"), "least", "n")
+    checked = texts.join(hits, "digest").select("digest", "_other", "least", "n", "keep_id", "group_size")
     alone = F.count(F.lit(1)).over(Window.partitionBy("digest")) == 1  # else the digest has texts that differ
     classes = checked.withColumn("_alone", alone).select(
         "digest", "_other", F.when(F.col("_alone"), F.col("keep_id")).otherwise(F.col("least")).alias("_keep"), F.when(F.col("_alone"), F.col("group_size")).otherwise(F.col("n")).alias("_size")

@@ -1,5 +1,6 @@
 """Operators against plain Python on small fixtures."""
 
+import importlib
 import itertools
 import math
 import random
@@ -314,6 +315,33 @@ def test_exact_dedup_answers_from_its_state(spark, tmp_path):
         _pattern("/a/b[1]")
 
 
+def test_exact_dedup_exchanges_texts_once(spark, tmp_path, monkeypatch):
+    """Also where the hits are too many to broadcast; texts of earlier files are exchanged once more, to be picked."""
+    at, plans = importlib.import_module("foldline.llm.exact_dedup"), []
+
+    def spy(df, name):
+        if name == "classes":
+            mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            plans.append(df._jdf.queryExecution().explainString(mode))
+        return written(df, name)
+
+    monkeypatch.setattr(at, "written", spy)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for run, ids in (("one", range(0, 40)), ("two", range(40, 80))):
+            spark.createDataFrame([(k, f"text  {k % 25} ") for k in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/{run}")
+            got = exact_dedup(spark, f"{tmp_path}/{run}", checkpoint=f"{tmp_path}/state").collect()
+            seen = range(ids[-1] + 1)
+            for r in got:
+                same = [k for k in seen if k % 25 == r["doc_id"] % 25]
+                assert (r["keep_id"], r["group_size"], r["kept"]) == (same[0], len(same), r["doc_id"] == same[0])
+            assert sorted(r["doc_id"] for r in got) == list(ids)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*_text#", p)) for p in plans] == [1, 2]
+
+
 def test_pipeline(spark, tmp_path):
     from tokenizers import Tokenizer
 
