@@ -161,6 +161,11 @@ def key_buckets(docs: DataFrame, least: int) -> int:
     return min(1 << 24, max(least, size // BUCKET_BYTES))
 
 
+def table_files(docs: DataFrame) -> int:
+    """Files for a table of numbers about each document: as many as the session has cores, or one for each 16 MB of the input's size on disk."""
+    return key_buckets(docs, docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def questions(pack: int, keys: np.ndarray, buckets: int, parts: dict[str, Callable[[slice], bytes]]) -> pa.RecordBatch:
     """One row for each bucket with keys, which are sorted; ``parts`` gives its binary columns. Buckets are equal ranges of the 64-bit keys."""
     of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)

@@ -44,6 +44,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame, files: int) -> DataFrame:
+    """``df``, before it is written, in the ``files`` that its size is worth, if the session has four times as many shuffle partitions or more.
+
+    Else a table of a few MB is one file for each of them, and file systems start processes or calls for every file.
+    """
+    return df.repartition(files) if shuffle_partitions(df.sparkSession) >= 4 * files else df
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of an Arrow batch, so that a batch of very long texts still fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm._shared import SPACE, SPACE_CHARS, let, written
+from foldline.llm._packs import table_files
+from foldline.llm._shared import SPACE, SPACE_CHARS, in_files, let, written
 
 _NO_ID = -(1 << 63)
 
@@ -37,7 +38,7 @@ def _long_lines(docs: DataFrame, words: int, id_col: str, text_col: str) -> Data
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_text"),
         F.explode(F.transform(long, lambda y: F.struct(*_hashes(y["x"]), y["no"].alias("no")))).alias("l"),
     ).select("_id", "_text", "l.*")
-    first = written(_firsts(lines, F.struct("_id", "no")), "firsts")
+    first = written(in_files(_firsts(lines, F.struct("_id", "no")), table_files(docs)), "firsts")
     return lines.join(first, ["h", "g"]).where(F.struct("_id", "no") > F.col("first")).select("_id", "_text", "no")
 
 
@@ -52,21 +53,21 @@ def line_runs(docs: DataFrame, run_lines: int = 2, *, run_words: int | None = No
     The lines of a text are one small row of hashes, written once; what is taken from it for each position is cut inside the
     row, so a text of very many lines costs no more than its lines times ``run_lines``.
     """
-    w = run_lines
+    w, files = run_lines, table_files(docs)
     numbers = F.when(F.size("lines") >= w, F.sequence(F.lit(0), F.size("lines") - w)).otherwise(F.array().cast("array<int>"))
     least = let(F.col("lines"), lambda x: F.transform(numbers, lambda i: F.array_min(F.transform(F.slice(x, i + 1, w), lambda y, k: F.struct(y["h"].alias("h"), (i + k).alias("at"))))))
     picks = let(least, lambda p: F.filter(p, lambda v, i: (i == 0) | (v["at"] != F.get(p, i - 1)["at"])))  # a place is picked by windows in a row
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_text"), _lines(F.col(text_col)).alias("lines"))
     keyed = written(texts.where(F.size("lines") >= w).select("_id", "_text", "lines", picks.alias("picks")), "lines")
     picked = keyed.select("_id", "_text", F.explode("picks").alias("f")).select("_id", "_text", "f.h", "f.at")
-    shared = written(picked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "shared")
+    shared = written(in_files(picked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), files), "shared")
     hits = picked.join(shared, "h").groupBy("_id", "_text").agg(F.collect_set("at").alias("hits"))
     near = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(F.greatest(i - (w - 1), F.lit(0)), F.least(i, F.size("lines") - w)))))
     joined = keyed.select("_id", "_text", "lines").join(hits, ["_id", "_text"]).select("_id", "_text", "lines", near.alias("near"))
     of = lambda i, name: F.transform(F.slice("lines", i + 1, w), lambda y: y[name])
     windows = F.transform("near", lambda i: F.struct(F.xxhash64(of(i, "h")).alias("h"), F.xxhash64(of(i, "g")).alias("g"), i.alias("at"), of(i, "no").alias("nos")))
-    placed = written(joined.select("_id", "_text", F.explode(windows).alias("p")).select("_id", "_text", "p.*"), "windows")
-    first = written(_firsts(placed, F.struct("_id", "at")), "firsts")
+    placed = written(in_files(joined.select("_id", "_text", F.explode(windows).alias("p")).select("_id", "_text", "p.*"), files), "windows")
+    first = written(in_files(_firsts(placed, F.struct("_id", "at")), files), "firsts")
     later = placed.join(first, ["h", "g"]).where((F.col("_id") > F.col("first._id")) | ((F.col("_id") == F.col("first._id")) & (F.col("at") >= F.col("first.at") + w)))
     gone = later.select("_id", "_text", F.explode("nos").alias("no"))
     if run_words is not None:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldline.llm import _packs as P
-from foldline.llm._shared import small_batches, written
+from foldline.llm._shared import in_files, small_batches, written
 
 #: Elements before one that are kept beside it, to report a pair at the first that it shares; a pair reported twice is only work.
 _BEFORE = 8
@@ -133,26 +133,30 @@ def _similar(pairs: DataFrame, percent: int, column: str, exact: bool) -> DataFr
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _table(df: DataFrame, name: str, files: int) -> DataFrame:
+    return written(in_files(df, files), name)
+
+
+def components(nodes: DataFrame, edges: DataFrame, files: int) -> DataFrame:
     """(node, label): the smallest node that each of ``nodes`` (node, label) reaches over ``edges`` (a, b) between labels.
 
     Rounds of taking the least label of neighbours and of labels, each written to the shared folder.
     """
-    links = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    links = _table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges", files)
     while True:
         by = nodes.select(F.col("node").alias("a"), F.col("label").alias("la"))
         far = nodes.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         low = links.join(by, "a").join(far, "b").where("lb < la").groupBy(F.col("la").alias("label")).agg(F.min("lb").alias("low"))
-        low = written(low, "labels")
+        low = _table(low, "labels", files)
         if low.isEmpty():
             return nodes
         for _ in range(8):
             up = low.select(F.col("label").alias("low"), F.col("low").alias("next"))
-            jumped = written(low.join(up, "low", "left").select("label", F.coalesce("next", "low").alias("low"), F.col("next").isNotNull().alias("moved")), "labels")
+            jumped = _table(low.join(up, "low", "left").select("label", F.coalesce("next", "low").alias("low"), F.col("next").isNotNull().alias("moved")), "labels", files)
             low = jumped.drop("moved")
             if jumped.where("moved").isEmpty():
                 break
-        nodes = written(nodes.join(low, "label", "left").select("node", F.coalesce("low", "label").alias("label")), "components")
+        nodes = _table(nodes.join(low, "label", "left").select("node", F.coalesce("low", "label").alias("label")), "components", files)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, bands: int = 20, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,20 +171,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, ban
     texts. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    files = P.table_files(docs)
     sig = written(signatures(docs, shingle, bands, rows, "doc_id", "text"), "signatures")
     some = sig.where("n_shingles > 0")
     named = some.where("doc_id IS NOT NULL")
-    reps = written(named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("set_a", "set_b", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "reps")
-    members = _members(reps)
-    nodes = written(members.select(F.col("rep").alias("node"), F.col("rep").alias("label")).distinct(), "components")
-    known = written(_of(named, nodes).select("doc_id", "sketch"), "sketches")
+    reps = _table(named.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("set_a", "set_b", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "reps", files)
+    members = _members(reps, files)
+    nodes = _table(members.select(F.col("rep").alias("node"), F.col("rep").alias("label")).distinct(), "components", files)
+    known = _table(_of(named, nodes).select("doc_id", "sketch"), "sketches", files)
     sets = written(_full_sets(_of(docs, nodes), shingle), "sets")
-    for step in (_hub_pairs(members), None):
-        pairs = written(step if step is not None else _prefix_pairs(members, nodes, sets, percent), "pairs")
-        close = written(_similar(_with_sides(pairs, known, "sketch"), percent, "sketch", False), "close")
-        nodes = components(nodes, written(_similar(_with_sides(close, sets, "set"), percent, "set", True), "links"))
+    for step in (_hub_pairs(members, files), None):
+        pairs = _table(step if step is not None else _prefix_pairs(members, nodes, sets, percent, files), "pairs", files)
+        close = _table(_similar(_with_sides(pairs, known, "sketch"), percent, "sketch", False), "close", files)
+        nodes = components(nodes, _table(_similar(_with_sides(close, sets, "set"), percent, "set", True), "links", files), files)
     classes = reps.join(nodes, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component_id"))
-    found = some.select("doc_id", "n_shingles", "set_a", "set_b").join(written(classes, "classes"), ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component_id")
+    found = some.select("doc_id", "n_shingles", "set_a", "set_b").join(_table(classes, "classes", files), ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component_id")
     return found.unionByName(sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -195,33 +200,33 @@ def _with_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def _members(reps: DataFrame) -> DataFrame:
+def _members(reps: DataFrame, files: int) -> DataFrame:
     """(band, rep, n, meets) of every band with two members or more: its size, and the sum of the sizes of all bands of the member."""
     rows = reps.select("rep", F.posexplode("bands").alias("k", "h"))
-    buckets = written(rows.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    buckets = _table(rows.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets", files)
     found = rows.join(buckets, ["k", "h"]).select(F.xxhash64("k", "h").alias("band"), "rep", "n").distinct()
-    return written(found.withColumn("meets", F.sum("n").over(Window.partitionBy("rep"))), "members")
+    return _table(found.withColumn("meets", F.sum("n").over(Window.partitionBy("rep"))), "members", files)
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
+def _hub_pairs(members: DataFrame, files: int) -> DataFrame:
     """Pairs (a, b) of each member with the hub of each of its bands, each pair once."""
     top = F.max(F.struct("meets", F.negative("rep").alias("rep")))
-    hubs = written(members.groupBy("band").agg(top.alias("top")).select("band", F.negative("top.rep").alias("hub")), "hubs")
+    hubs = _table(members.groupBy("band").agg(top.alias("top")).select("band", F.negative("top.rep").alias("hub")), "hubs", files)
     return members.join(hubs, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
-def _around(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def _around(members: DataFrame, nodes: DataFrame, files: int) -> DataFrame:
     """(c, rep, label): the members of each band that still has several labels, with the centre of its most common one.
 
     Bands of two need nothing more: their members were compared.
     """
-    at = written(members.join(nodes, F.col("rep") == F.col("node")).select("band", "rep", "label", "meets"), "labelled")
+    at = _table(members.join(nodes, F.col("rep") == F.col("node")).select("band", "rep", "label", "meets"), "labelled", files)
     sizes = at.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     most = F.max(F.struct("n", F.negative("label").alias("label")))
     open_ = sizes.groupBy("band").agg(most.alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1 AND n > 2")
     centre = at.groupBy("label").agg(F.max(F.struct("meets", F.negative("rep").alias("rep"))).alias("top"))
     centre = centre.select(F.col("label").alias("main"), F.negative("top.rep").alias("c"))
-    open_ = written(open_.select("band", F.negative("most.label").alias("main")).join(centre, "main"), "open")
+    open_ = _table(open_.select("band", F.negative("most.label").alias("main")).join(centre, "main"), "open", files)
     return at.join(open_, "band").select("c", "rep", "label").distinct()
 
 
@@ -236,16 +241,16 @@ def _elements(rows: DataFrame) -> DataFrame:
     return rows.select("c", "rep", "set").mapInArrow(run, "c long, rep long, element long")
 
 
-def _centres(around: DataFrame, sets: DataFrame) -> DataFrame:
+def _centres(around: DataFrame, sets: DataFrame, files: int) -> DataFrame:
     """(c, centre): for each group the set of elements that most of some ``_PICKED`` of its members hold. Any set would do for right results; this one leaves small differences."""
     size = around.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / _PICKED).alias("share"))
-    picked = written(around.join(size, "c").where(F.pmod(F.xxhash64("rep"), "share") == 0).select("c", "rep"), "picked")
+    picked = _table(around.join(size, "c").where(F.pmod(F.xxhash64("rep"), "share") == 0).select("c", "rep"), "picked", files)
     held = _elements(picked.join(sets, F.col("rep") == F.col("doc_id"))).groupBy("c", "element").agg(F.count(F.lit(1)).alias("n"))
     most = held.join(picked.groupBy("c").agg(F.count(F.lit(1)).alias("k")), "c").where("2 * n > k")
-    return written(most.groupBy("c").agg(F.array_sort(F.collect_list("element")).alias("centre")), "centres")
+    return _table(most.groupBy("c").agg(F.array_sort(F.collect_list("element")).alias("centre")), "centres", files)
 
 
-def _differences(around: DataFrame, sets: DataFrame) -> DataFrame:
+def _differences(around: DataFrame, sets: DataFrame, files: int) -> DataFrame:
     """(c, rep, part, label, size, n, difference): the symmetric difference of each set of a member and the centre of its group, n elements; part tells the sets of a repeated id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,11 +266,11 @@ def _differences(around: DataFrame, sets: DataFrame) -> DataFrame:
                 names=["c", "rep", "part", "label", "size", "n", "difference"],
             )
 
-    rows = around.select("c", "rep", "label").join(sets, F.col("rep") == F.col("doc_id")).join(_centres(around, sets), "c", "left")
+    rows = around.select("c", "rep", "label").join(sets, F.col("rep") == F.col("doc_id")).join(_centres(around, sets, files), "c", "left")
     return rows.select("c", "rep", F.xxhash64("set").alias("part"), "label", "set", "centre").mapInArrow(run, "c long, rep long, part long, label long, size long, n long, difference array<long>")
 
 
-def _prefix_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, files: int) -> DataFrame:
     """Pairs (a, b) of one group with different labels; every similar pair is among them, or both are linked by way of a third.
 
     With D the difference of a set x from the centre, h = (1 - t) / (1 + t) and u(x) = |Dx| - h |x|: x and y are similar just if |Dx - Dy| + |Dy - Dx| <= h (|x| + |y|), so
@@ -276,16 +281,16 @@ def _prefix_pairs(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent
     """
     t = percent / 100
     h = (1 - t) / (1 + t)
-    found = written(_differences(written(_around(members, nodes), "around"), sets), "differences").withColumn("u", F.col("n") - F.lit(h) * F.col("size"))
+    found = _table(_differences(_table(_around(members, nodes, files), "around", files), sets, files), "differences", files).withColumn("u", F.col("n") - F.lit(h) * F.col("size"))
     low = found.groupBy("c").agg(F.min(F.struct("u", "rep", "label")).alias("x"))
-    near = found.join(written(low, "least"), "c").where((F.col("u") + F.col("x.u") <= 1e-6) & (F.col("label") != F.col("x.label"))).select(F.col("rep").alias("a"), F.col("x.rep").alias("b"))
+    near = found.join(_table(low, "least", files), "c").where((F.col("u") + F.col("x.u") <= 1e-6) & (F.col("label") != F.col("x.label"))).select(F.col("rep").alias("a"), F.col("x.rep").alias("b"))
     elements = found.select("c", "rep", "part", F.explode("difference").alias("element"))
-    shared = written(elements.groupBy("c", "element").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shared")
+    shared = _table(elements.groupBy("c", "element").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shared", files)
     ordered = elements.join(shared, ["c", "element"]).groupBy("c", "rep", "part").agg(F.array_sort(F.collect_set(F.struct("held", "element"))).alias("e"))
     must = F.greatest(F.lit(1), F.ceil(F.col("u") - F.lit(h / t) * F.col("size") - 1e-6))
     seen = F.greatest(F.col("n") - must + 1 - (F.col("n") - F.size("e")), F.lit(0)).cast("int")  # elements of the member alone take the first places
     facts = found.select("c", "rep", "part", "label", "size", "n", "u").join(ordered, ["c", "rep", "part"]).withColumn("seen", seen).where("seen > 0")
-    keys = written(facts.select("c", "rep", "label", "size", "u", F.size("e").alias("of"), F.transform(F.slice("e", F.lit(1), F.col("seen")), lambda x: x["element"]).alias("e")), "prefixes")
+    keys = _table(facts.select("c", "rep", "label", "size", "u", F.size("e").alias("of"), F.transform(F.slice("e", F.lit(1), F.col("seen")), lambda x: x["element"]).alias("e")), "prefixes", files)
     keys = keys.select("c", "rep", "label", "size", "u", "of", F.posexplode("e").alias("at", "element"), "e")
     keys = keys.select("c", "element", "rep", "label", "size", "u", (F.col("of") - F.col("at")).alias("left"), F.slice("e", F.greatest(F.col("at") - _BEFORE + 1, F.lit(1)), F.least(F.col("at"), F.lit(_BEFORE))).alias("before"))
     side = lambda name: keys.select("c", "element", *[F.col(x).alias(f"{x}_{name}") for x in ("rep", "label", "size", "u", "left", "before")])

@@ -124,6 +124,33 @@ def test_templated_pages_form_no_pairs_of_all(spark, monkeypatch):
     assert pairs[2] < 3 * pairs[1] < 9 * pairs[0] and pairs[2] < 20 * 280
 
 
+def test_small_tables_are_a_few_files(spark, monkeypatch):
+    """Also where the session has many shuffle partitions and does not merge small ones."""
+    lines, files = importlib.import_module("foldline.llm.line_dedup"), []
+
+    def spy(df, name):
+        out = written(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    for at in (minhash, lines):
+        monkeypatch.setattr(at, "written", spy)
+    base = [[f"t{k}x{j}" for j in range(90)] for k in range(40)]
+    found = {k: " ".join([*base[k % 40], f"own{k}"]) + f"\n{k % 9} a\n{k % 9} b" for k in range(200)}
+    d = written(spark.createDataFrame(list(found.items()), "doc_id long, text string"), "docs")
+    few = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        assert {x["doc_id"]: x["component_id"] for x in near_duplicates(d).collect()} == {k: k % 40 for k in found}
+        assert sum(len(x["removed_lines"]) for x in line_dedup(d, 2).collect()) == 2 * (len(found) - 9)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 20 and max(files) <= spark.sparkContext.defaultParallelism
+
+
 def test_base_scores(spark):
     found = texts(3, 60)
     docs = [[*words((t or "").lower()), None] for t in found]
