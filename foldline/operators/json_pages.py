@@ -194,5 +194,7 @@ def block_pages(payloads: DataFrame) -> DataFrame:
     numbered = _facts(tops, "doc_id", "top").where("page_idx IS NOT NULL").drop("text")
     nested = _member(children(tops, "doc_id", "top").where("key = 'children'"), "children", "doc_id", "top").where("kind = 'array'")
     inner = _joined(_facts(children(nested, "doc_id", "top"), "doc_id", "top", "pos"), "doc_id", "top")
-    tree = numbered.join(inner, ["doc_id", "top"], "left").select("doc_id", "page_idx", F.coalesce("text", F.lit("")).alias("text"), "width", "height")
+    # Spark takes VARIANT for so large that it takes the texts, from rows of which one was cut, for small, and would broadcast them
+    inner = inner.select(F.col("doc_id").alias("_doc"), F.col("top").alias("_top"), "text").hint("merge")
+    tree = numbered.join(inner, (F.col("doc_id") == F.col("_doc")) & (F.col("top") == F.col("_top")), "left").select("doc_id", "page_idx", F.coalesce("text", F.lit("")).alias("text"), "width", "height")
     return flat.unionByName(tree)

@@ -95,3 +95,12 @@ def test_tree_pages(spark):
     df = spark.createDataFrame([(1, json.dumps({"children": pages})), (2, json.dumps({"children": []})), (3, json.dumps({"children": {}}))], "doc_id long, payload string")
     want = [(1, 1, "b\nc", 5.0, 6.0), (1, 0, "", None, None), (1, 3, "x", None, None), (1, 3, "same page again", 1.0, 1.0)]
     assert rows_of(J.block_pages(df), "doc_id", "page_idx", "text", "width", "height") == sorted(want, key=repr)
+
+
+def test_tree_pages_broadcast_no_texts(spark):
+    """The texts of pages never go to the driver, however small Spark takes them for."""
+    df = spark.createDataFrame([(1, json.dumps({"children": [{"page": 0, "children": [{"html": "<p>a</p>"}]}]}))], "doc_id long, payload string")
+    tree = J.block_pages(df).where("text IS NOT NULL")
+    plan = tree._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
