@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -70,10 +71,10 @@ def clean_text(text: Column, dehyphenate: bool = True, dedupe: bool = True, coll
     return F.transform(found, lambda a: strip(F.array_join(a, "\n")))[0]
 
 
-def strip_tags(html: Column) -> Column:
-    """Column: text of an HTML fragment: breaks and ends of paragraphs and table rows are line ends, other tags go, entities become characters."""
+def strip_tags(html: Column, decode: Callable[[Column], Column] = unescaped) -> Column:
+    """Column: text of an HTML fragment: breaks and ends of paragraphs and table rows are line ends, other tags go, ``decode`` makes entities characters."""
     text = F.regexp_replace(html, r"(?i)<br[\x09-\x0D ]*/?>|</p[\x09-\x0D ]*>|</tr[\x09-\x0D ]*>", "\n")
-    text = F.regexp_replace(unescaped(F.regexp_replace(text, "<[^>]+>", "")), "\r\n?", "\n")
+    text = F.regexp_replace(decode(F.regexp_replace(text, "<[^>]+>", "")), "\r\n?", "\n")
     return strip(F.regexp_replace(F.regexp_replace(text, "[ \t]+\n", "\n"), "\n{3,}", "\n\n"))
 
 

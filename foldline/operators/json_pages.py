@@ -114,10 +114,18 @@ def _numbered(n: Column) -> Column:
     )
 
 
-def unescape(text: Column) -> Column:
-    """Column: ``text`` with HTML's character references as characters, the longest known name where a name goes on. No Python worker."""
-    named = F.create_map(*[F.lit(x) for k, c in sorted(html5.items()) for x in (k, c)])
-    bare = sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)  # names that count without a semicolon
+#: Names that count without a semicolon.
+BARE = tuple(k for k in html5 if not k.endswith(";"))
+
+
+def unescape(text: Column, bare: tuple[str, ...] = BARE) -> Column:
+    """Column: ``text`` with HTML's character references as characters, the longest known name where a name goes on. No Python worker.
+
+    A name that is not among ``bare`` and has no semicolon, as a cut leaves it, stays as it is.
+    """
+    known = "\x01".join(f"{k}\x02{c}" for k, c in sorted(html5.items()) if k.endswith(";") or k in bare)
+    named = F.str_to_map(F.lit(known), F.lit("\x01"), F.lit("\x02"))
+    bare = sorted(bare, key=len, reverse=True)
     parts = F.regexp_extract_all(text, F.lit(r"(?s)&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"), F.lit(0))
 
     def decoded(p: Column) -> Column:

@@ -1,7 +1,9 @@
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
+from foldline.jobs import page_catalogue
 from foldline.operators import canonical, chunking, code, pages
 from foldline.operators.html import html_to_markdown
 from foldline.sources.files import high_water_mark, read_files, text_pages
@@ -79,6 +81,24 @@ def test_html(spark):
     assert html_to_markdown(pages_.where("page_id < 0")).count() == 0
 
 
+CUT_PAGES = ["<title>a &quot</title><h1>b &am</h1><p>c &quot", "<p>&quot;d&quot; &copy &copy; &amp &ampx &amp;quot; &middot;", "<p>&quote; &notit; &&quot;", "<title>e&am</title><style>p{}</style><p>&am<b>p;</b>", "&", "&quot"]
+
+
+def both(spark, folder, name):
+    """The rows of a query over ``CUT_PAGES``, and those of its SQL."""
+    spark.createDataFrame([*enumerate(CUT_PAGES)], "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    return sorted(map(tuple, page_catalogue.QUERIES[name](spark, str(folder)).collect())), sorted(db.execute(page_catalogue.SQL[name]).fetchall())
+
+
+def test_strip_tags_query_on_cut_references(spark, tmp_path):
+    """The query keeps a name without its semicolon, as its SQL does; the operator by itself does not."""
+    ours, theirs = both(spark, tmp_path, "html_strip_tags")
+    assert ours == theirs
+    assert spark.range(1).select(canonical.strip_tags(F.lit("a &quot</b> &eacute;"))).first()[0] == 'a " é'
+
+
 def test_chunk_ids_and_pages(spark):
     d = table(spark, [(7, "a\fb" + "x" * 1300), (8, None)], "doc_id int, text string")
     assert [r["chunk_id"] for r in chunking.chunks(d).collect()] == ["7-p0001-c001", "7-p0002-c001"]
