@@ -6,11 +6,13 @@ a block ends, which list, table row or preformatted part a token lies in; groupe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldline.functions.text import WS, strip
-from foldline.operators.adapters import unescaped
+from foldline.operators.json_pages import unescape
 
 #: Comments; scripts and styles with all they hold; tags, quoted attributes first; declarations; text.
 _TOKEN = (
@@ -23,18 +25,21 @@ _FENCE = "`" * 3
 
 
 def _inline(c: Column) -> Column:
-    """Column: entities as characters, white space as single spaces."""
-    return strip(F.regexp_replace(unescaped(c), f"[{WS}]+", " "))
+    """Column: white space as single spaces."""
+    return strip(F.regexp_replace(c, f"[{WS}]+", " "))
+
 
+def html_tokens(pages: DataFrame, id_col: str, html_col: str, decode: Callable[[Column], Column] = unescape) -> DataFrame:
+    """(id, i, name, ends, token, text): tags with their lower-case name and whether they end an element; text has no name. Null pages have no rows.
 
-def html_tokens(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, i, name, ends, token, text): tags with their lower-case name and whether they end an element; text has no name. Null pages have no rows."""
+    ``decode`` makes entities characters in each text by itself: one that a tag or the end of the text cuts off never goes on in the next. Scripts and styles have none.
+    """
     rows = pages.where(F.col(html_col).isNotNull()).select(id_col, F.posexplode(F.regexp_extract_all(html_col, F.lit(_TOKEN), F.lit(0))).alias("i", "token"))
     raw = F.col("token").rlike(_RAW)
     name = F.when(~raw, F.lower(F.nullif(F.regexp_extract("token", r"\A</?([A-Za-z][A-Za-z0-9]*)", 1), F.lit(""))))
     text = (
-        F.when(raw, F.replace(F.regexp_replace("token", _RAW, ""), F.lit("&"), F.lit("&amp;"))).when(F.col("token").rlike(r"\A</?[A-Za-z]"), F.when(name == "br", "\n"))
-        .when(~F.col("token").rlike(r"\A<[!?]"), F.col("token"))
+        F.when(raw, F.regexp_replace("token", _RAW, "")).when(F.col("token").rlike(r"\A</?[A-Za-z]"), F.when(name == "br", "\n"))
+        .when(~F.col("token").rlike(r"\A<[!?]"), decode(F.col("token")))
     )
     return rows.select(id_col, "i", name.alias("name"), F.col("token").startswith("</").alias("ends"), "token", text.alias("text"))
 
@@ -89,7 +94,7 @@ def _code_blocks(rows: DataFrame, key: str) -> DataFrame:
     inside = rows.where((F.col("in_pre") == 1) | ((F.col("name") == "pre") & F.col("ends")))
     inside = inside.withColumn("language", F.when((F.col("name") == "code") & ~F.col("ends"), F.substring(F.get(named, F.lit(0)), 10, 1 << 20)))
     found = inside.groupBy(key, "pre").agg(_joined().alias("raw"), F.max(F.when((F.col("name") == "pre") & F.col("ends"), F.col("i"))).alias("at"), F.max_by("language", F.when(F.col("language").isNotNull(), F.col("i"))).alias("language"))
-    text = F.regexp_replace(unescaped(F.col("raw")), "\r\n?", "\n")
+    text = F.regexp_replace("raw", "\r\n?", "\n")
     return found.where("at IS NOT NULL AND pre > 0").select(key, "at", F.lit(0).alias("sub"), F.concat(F.lit(_FENCE), F.coalesce("language", F.lit("")), F.lit("\n"), text, F.lit("\n" + _FENCE)).alias("block"))
 
 
@@ -111,13 +116,15 @@ def _table_blocks(rows: DataFrame, key: str) -> DataFrame:
     return out.select(key, "at", (2 * F.col("row") + F.col("k")).alias("sub"), "block")
 
 
-def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", decode: Callable[[Column], Column] = unescape) -> DataFrame:
     """(id, text): headings, paragraphs, list items, code and table rows of each page as blocks with an empty line between; pass it through ``normalise_markdown`` for canonical text.
 
     Tags that make no block are transparent; what scripts and styles hold counts as text. Comments, declarations and a tag
-    cut off by the end of the page go. Null pages stay null; ids are unique. A page's tokens share one partitioning by its id.
+    cut off by the end of the page go. Null pages stay null; ids are unique. Pages are dealt by their ids once, before they
+    are cut into tokens; what follows keeps to that dealing.
     """
-    rows = _state(html_tokens(pages, id_col, html_col), id_col)
+    pages = pages.select(id_col, html_col).repartition(id_col)
+    rows = _state(html_tokens(pages, id_col, html_col, decode), id_col)
     blocks = _plain_blocks(rows, id_col).unionByName(_code_blocks(rows, id_col)).unionByName(_table_blocks(rows, id_col))
     found = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "sub", "block"))).alias("x"))
     text = F.array_join(F.transform("x", lambda s: s["block"]), "\n\n")

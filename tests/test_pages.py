@@ -81,6 +81,13 @@ def test_html(spark):
     assert html_to_markdown(pages_.where("page_id < 0")).count() == 0
 
 
+def test_cut_references_in_html(spark):
+    """A reference that a tag cuts off does not go on in the next text, as Python's parser reads it."""
+    cases = {"<title>a&am</title><style>p{}</style>": "a&amp{}", "<p>x &am<b>p; y</b></p>": "x &amp; y", "<pre>&l<i>t;</i></pre>": "```\n&lt;\n```", "<table><tr><td>&#6<b>5;</b></td></tr></table>": "| 5; |", "<p>&amp<b>amp;</b> &quot</p>": '&amp; "'}
+    rows = spark.createDataFrame([*enumerate(cases)], "page_id long, html string")
+    assert {r["page_id"]: r["text"] for r in html_to_markdown(rows).collect()} == dict(enumerate(cases.values()))
+
+
 CUT_PAGES = ["<title>a &quot</title><h1>b &am</h1><p>c &quot", "<p>&quot;d&quot; &copy &copy; &amp &ampx &amp;quot; &middot;", "<p>&quote; &notit; &&quot;", "<title>e&am</title><style>p{}</style><p>&am<b>p;</b>", "&", "&quot"]
 
 
@@ -99,6 +106,11 @@ def test_strip_tags_query_on_cut_references(spark, tmp_path):
     assert spark.range(1).select(canonical.strip_tags(F.lit("a &quot</b> &eacute;"))).first()[0] == 'a " é'
 
 
+def test_html_query_on_cut_references(spark, tmp_path):
+    ours, theirs = both(spark, tmp_path, "html_canonical")
+    assert ours == theirs
+
+
 def test_chunk_ids_and_pages(spark):
     d = table(spark, [(7, "a\fb" + "x" * 1300), (8, None)], "doc_id int, text string")
     assert [r["chunk_id"] for r in chunking.chunks(d).collect()] == ["7-p0001-c001", "7-p0002-c001"]
