@@ -124,8 +124,8 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
     are cut into tokens; what follows keeps to that dealing.
     """
     pages = pages.select(id_col, html_col).repartition(id_col)
-    rows = _state(html_tokens(pages, id_col, html_col, decode), id_col)
-    blocks = _plain_blocks(rows, id_col).unionByName(_code_blocks(rows, id_col)).unionByName(_table_blocks(rows, id_col))
+    rows = lambda tag: _state(html_tokens(pages.where(F.col(html_col).rlike(f"(?i)<{tag}")), id_col, html_col, decode), id_col)
+    blocks = _plain_blocks(_state(html_tokens(pages, id_col, html_col, decode), id_col), id_col).unionByName(_code_blocks(rows("pre"), id_col)).unionByName(_table_blocks(rows("table"), id_col))  # only pages with such a tag have such blocks
     found = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "sub", "block"))).alias("x"))
     text = F.array_join(F.transform("x", lambda s: s["block"]), "\n\n")
     joined = pages.select(id_col, F.col(html_col).isNull().alias("_none")).join(found, id_col, "left")
